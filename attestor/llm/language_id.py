@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import crc32_text, sample_below
 from .textbatch import pieces
 
-BUCKETS = 1 << 14
+BUCKET_BITS = 14
+BUCKETS = 1 << BUCKET_BITS
+ROWS_AT_ONCE = 128
 MAX_N = 3
 MAX_TRAIN = 4000
 #: Distinct languages at most, which bounds the broadcast matrix.
@@ -37,36 +39,34 @@ UNKNOWN = "und"
 _MULTIPLIERS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
 
-def gram_buckets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For row ranges: (low, high, row of each n-gram counted from low, its bucket)."""
+def gram_buckets(texts: pa.Array) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]:
+    """For row ranges: low, high and, for each n, the row of each n-gram (from low) and its bucket."""
     texts = pc.utf8_lower(texts.fill_null("").cast(pa.large_string()))
-    ends = np.concatenate([[0], np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))])
+    ends = np.concatenate([[0], np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))]).astype(np.int64)
     for lo, hi in pieces(ends, 1 << 20):
         joined = "".join(texts.slice(lo, hi - lo).to_pylist())
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         points[points < 65] = 32
         row = np.repeat(np.arange(hi - lo, dtype=np.int64), np.diff(ends[lo : hi + 1]))
-        rows, buckets, total = [], [], np.zeros(len(points), np.uint64)
-        for n in range(1, MAX_N + 1):
-            if len(points) < n:
-                break
+        out, total = [], np.zeros(len(points), np.uint64)
+        for n in range(1, min(MAX_N, len(points)) + 1):
             total = total[: len(points) - n + 1] * np.uint64(31) + (points[n - 1 :] + np.uint64(n)) * _MULTIPLIERS[n - 1]
-            whole = row[: len(total)] == row[n - 1 :]
             mixed = (total ^ (total >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            rows.append(row[: len(total)][whole])
-            buckets.append((mixed >> np.uint64(64 - 14)).astype(np.int64)[whole])
-        yield lo, hi, np.concatenate(rows) if rows else np.empty(0, np.int64), np.concatenate(buckets) if buckets else np.empty(0, np.int64)
+            whole = row[: len(total)] == row[n - 1 :]
+            out.append((row[: len(total)][whole], (mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)[whole]))
+        yield lo, hi, out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.column("lang").dictionary_encode()
-        labels, code = names.dictionary.to_pylist(), names.indices.to_numpy(zero_copy_only=False)
-        counts = np.zeros((len(labels), BUCKETS), np.int64)
-        for lo, hi, row, bucket in gram_buckets(batch.column("text")):
-            np.add.at(counts.reshape(-1), code[lo:hi][row] * BUCKETS + bucket, 1) if len(row) < 1000 else counts.reshape(-1).__iadd__(np.bincount(code[lo:hi][row] * BUCKETS + bucket, minlength=counts.size))
-        i, b = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([labels[x] for x in i], pa.string()), pa.array(b, pa.int64()), pa.array(counts[i, b], pa.int64())], names=["lang", "bucket", "n"])
+        labels, code = names.dictionary.to_pylist(), names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        counts = np.zeros(len(labels) * BUCKETS, np.int64)
+        for lo, hi, grams in gram_buckets(batch.column("text")):
+            for row, bucket in grams:
+                counts += np.bincount(code[lo:hi][row] * BUCKETS + bucket, minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()).take(pa.array(at // BUCKETS)), pa.array(at % BUCKETS), pa.array(counts[at])], names=["lang", "bucket", "n"])
 
 
 class LanguageModel:
@@ -81,23 +81,18 @@ class LanguageModel:
         if not self.languages:
             return names, scores
         letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-        for lo, hi, row, bucket in gram_buckets(texts):
-            # sparse rows: the distinct (row, bucket) cells and how often each occurs
-            width = max(1, (1 << 22) // BUCKETS)
-            edge = np.searchsorted(row, np.arange(0, hi - lo + width, width)) if MAX_N == 1 else None
+        for lo, hi, grams in gram_buckets(texts):
             total = np.zeros((hi - lo, len(self.languages)))
-            order = np.argsort(row, kind="stable")
-            row, bucket = row[order], bucket[order]
-            edge = np.searchsorted(row, np.arange(0, hi - lo + width, width))
-            for k in range(len(edge) - 1):
-                r, b = row[edge[k] : edge[k + 1]] - k * width, bucket[edge[k] : edge[k + 1]]
-                if not len(r):
-                    continue
-                cells = np.bincount(r * BUCKETS + b)
+            for first in range(0, hi - lo, ROWS_AT_ONCE):
+                cells = 0
+                for row, bucket in grams:
+                    i, j = np.searchsorted(row, (first, first + ROWS_AT_ONCE))
+                    cells = cells + np.bincount((row[i:j] - first) * BUCKETS + bucket[i:j], minlength=ROWS_AT_ONCE * BUCKETS)
+                # the distinct (row, bucket) cells of a sparse count matrix
                 at = np.flatnonzero(cells)
-                data, of = cells[at], at // BUCKETS
-                starts = np.flatnonzero(np.diff(of, prepend=-1))
-                total[k * width + of[starts]] = np.add.reduceat(data[:, None] * self.log_prob[at % BUCKETS], starts)
+                starts = np.flatnonzero(np.diff(at // BUCKETS, prepend=-1))
+                if len(at):
+                    total[first + at[starts] // BUCKETS] = np.add.reduceat(cells[at][:, None] * self.log_prob[at % BUCKETS], starts)
             total += self.log_prior
             best = total.argmax(axis=1)
             share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
