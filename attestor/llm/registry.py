@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality, sharding
+from . import decontamination, language_id, mixing, near_dedup, quality, sharding
 from .common import saved, table
 
 
@@ -22,12 +22,30 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: Production targets: shares of the expected tokens by domain.
+MIX_WEIGHTS = {"clean": 0.95, "toxic": 0.03, "low": 0.02}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = mixing.mix(docs, mixing.label_domains(table(spark, sf_dir, "labels")), docs, MIX_WEIGHTS)
+    return out.select("doc_id", "tokens", "p", "rate", "copies")
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_copies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_sharding, op4_quality_classifier, op9_language_id]
+    found = [op2_sharding, op4_quality_classifier, op5_mixing, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_language_id]
     return {f.__name__: f for f in found}
 
 
