@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, mixing, near_dedup, quality, sharding
+from . import decontamination, language_id, mixing, near_dedup, quality, secrets, sharding, topk_search
 from .common import saved, table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     slim = saved(docs.select("doc_id", sharding.text_size(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("crc")))
@@ -32,6 +36,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "tokens", "p", "rate", "copies")
 
 
+def op6_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_copies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,9 +53,24 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_sharding, op4_quality_classifier, op5_mixing, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_language_id]
+    found = [op1_secret_scan, op2_sharding, op4_quality_classifier, op5_mixing, op6_exact_topk_search, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_language_id]
     return {f.__name__: f for f in found}
 
 
+OP6_SQL = """
+    with v as (
+        select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as x
+        from embeddings
+        where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+    ), scored as (
+        select q.vec_id as query_id, d.vec_id, cast(list_sum(list_transform(list_zip(q.x, d.x), p -> p[1] * p[2])) as bigint) as score
+        from v q join v d on q.vec_id % 50 = 0 and d.vec_id <> q.vec_id
+    ), ranked as (
+        select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored
+    )
+    select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_exact_topk_search": OP6_SQL}

@@ -151,3 +151,24 @@ def shingle_sets(w: Words, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarr
         out.append(part)
         sizes[d] = len(part)
     return (np.concatenate(out) if out else np.empty(0, np.uint64)), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def key_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """The same rows, cut so that rows of one key, which come together, stay in one batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        cut = int(np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[-1])
+        if held and held[-1].column(key)[-1].as_py() != keys[0]:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+        if cut:
+            held.append(batch.slice(0, cut))
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
