@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, mixing, near_dedup, quality, secrets, sharding, topk_search
+from . import chaining, decontamination, language_id, mixing, near_dedup, quality, secrets, sharding, topk_search
 from .common import saved, table
 
 
@@ -52,8 +52,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.fuzzy_passages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_secret_scan, op2_sharding, op4_quality_classifier, op5_mixing, op6_exact_topk_search, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_language_id]
+    found = [op1_secret_scan, op2_sharding, op4_quality_classifier, op5_mixing, op6_exact_topk_search, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_language_id, op10_substring_dedup]
     return {f.__name__: f for f in found}
 
 

@@ -123,7 +123,7 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
-        rows, start, end, masked, digest, x = [], [], [], [], [], []
+        rows, start, end, masked, x = [], [], [], [], []
         for lo, hi in pieces(offsets):
             part, base = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             for t, a, b in candidates(part, base):
@@ -133,7 +133,6 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 end.append(b - base[t])
                 masked.append(f"{token[:4].decode()}...{b - a}")
                 x.append(features(token, part[max(base[t], a - NEAR_BYTES) : a].tobytes(), part[b : min(base[t + 1], b + NEAR_BYTES)].tobytes()).tolist())
-        del digest
         if rows:
             kept = [batch.column(c).take(pa.array(rows, pa.int64())) for c in batch.schema.names if c != "text"]
             names = [c for c in batch.schema.names if c != "text"]
