@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import dropped, saved
 from .components import components
-from .textbatch import SHINGLE_WORDS, mix64, pieces, shingle_sets, utf8, words
+from .textbatch import SHINGLE_WORDS, key_runs, mix64, pieces, shingle_sets, utf8, words
 
 TREES, LEVELS = 24, 5
 SHALLOW, DEEP = 2, 4
@@ -43,6 +43,8 @@ LOOSE = 0.56
 #: Documents of a family that one task compares at once are two blocks of this.
 FAMILY_BLOCK = 256
 PERCENT = 75
+#: Rows of three integers that may be broadcast (some 50 MB).
+BROADCAST_ROWS = 1_000_000
 
 _rng = np.random.default_rng(20240613)
 _FLIP = _rng.integers(0, 1 << 63, TREES * LEVELS, dtype=np.uint64)
@@ -87,27 +89,6 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    """The same rows, cut so that rows of one key, which come together, stay in one batch."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(key).to_numpy(zero_copy_only=False)
-        cut = int(np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[-1])
-        if held and held[-1].column(key)[-1].as_py() != keys[0]:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held = []
-        if cut:
-            held.append(batch.slice(0, cut))
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held = [batch.slice(cut)]
-        else:
-            held.append(batch)
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
 def _forest(linked: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(member, smallest member) for the components of a boolean matrix, without the roots themselves."""
     seen = np.zeros(len(ids), bool)
@@ -129,7 +110,7 @@ def _forest(linked: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning links of each region (rows of one `cell`) by agreement of signatures."""
     need = int(np.ceil(LOOSE * TREES * LEVELS))
-    for batch in _runs(batches, "cell"):
+    for batch in key_runs(batches, "cell"):
         cell = batch.column("cell").to_numpy(zero_copy_only=False)
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         lanes = np.frombuffer(b"".join(batch.column("lanes").to_pylist()), np.uint8).reshape(len(ids), -1)
@@ -186,7 +167,7 @@ def linked_pairs(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning links of each family cell by the full sets."""
-    for batch in _runs(batches, "cell"):
+    for batch in key_runs(batches, "cell"):
         cell = batch.column("cell").to_numpy(zero_copy_only=False)
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         alone = batch.column("alone").to_numpy(zero_copy_only=False)
@@ -249,8 +230,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     family = saved(components(loose))
     dropped(classes)
     sizes = family.groupBy("root").agg(F.count("*").alias("size"))
-    family_rows = family.join(sizes, "root").select(F.col("node").alias("doc_id"), "root", "size")
-    cells = _in_cells(docs.join(family_rows, "doc_id"), "root", "size", FAMILY_BLOCK).select("doc_id", "text", "cell", (F.col("size") <= FAMILY_BLOCK).alias("alone"))
+    family_rows = saved(family.join(sizes, "root").select(F.col("node").alias("doc_id"), "root", "size"))
+    # few rows go to the texts, so that only the families' texts are shuffled; many meet them in a merge join
+    few = family_rows.count() <= BROADCAST_ROWS
+    cells = _in_cells(docs.join(F.broadcast(family_rows) if few else family_rows.hint("merge"), "doc_id"), "root", "size", FAMILY_BLOCK).select("doc_id", "text", "cell", (F.col("size") <= FAMILY_BLOCK).alias("alone"))
     links = saved(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_verify, f"a {kind}, b {kind}, alone boolean"))
     dropped(family)
     # a family in one cell has its components already; the links of the others meet here
