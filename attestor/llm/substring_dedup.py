@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import dropped, saved
 from .suffix_array import permuted_lcp, suffix_order
-from .textbatch import Prefix, key_runs, pieces, utf8
+from .textbatch import Prefix, key_runs, pieces, trimmed, utf8
 
 LENGTH = 400
 ANCHOR = 200
@@ -101,7 +101,7 @@ def _ranges(mask: np.ndarray) -> np.ndarray:
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in trimmed(batches):
         data, offsets = utf8(batch.column("text"))
         for lo, hi in pieces(offsets):
             text, start, count, h, c = contexts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
@@ -121,7 +121,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([rows["h"].take(at).combine_chunks(), rows["c"].take(at).combine_chunks(), pa.array([ranges[i].tolist() for i in some], pa.list_(pa.int32()))], names=["h", "c", "ranges"])
 
     parts, size = [], 0
-    for batch in key_runs(batches, "h"):
+    for batch in trimmed(key_runs(batches, "h")):
         # whole anchor hashes only: a run never goes on in the next batch
         h = batch.column("h").to_numpy(zero_copy_only=False)
         edge = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h))
@@ -162,7 +162,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in trimmed(batches):
         data, offsets = utf8(batch.column("text"))
         wants = batch.column("spans").to_pylist()
         removed, spans, sha = [], [], []

@@ -6,6 +6,7 @@ object is made for a row or a word. A null text counts as an empty one.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -153,6 +154,23 @@ def shingle_sets(w: Words, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarr
     return (np.concatenate(out) if out else np.empty(0, np.uint64)), np.concatenate([[0], np.cumsum(sizes)])
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; after each, and at the end, freed memory goes back to the system.
+
+    Python workers outlive their tasks, and what one has freed would still count for the executor.
+    """
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if trim:
+            trim(0)
+    pa.default_memory_pool().release_unused()
+    if trim:
+        trim(0)
+
+
 def key_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
     """The same rows, cut so that rows of one key, which come together, stay in one batch."""
     held: list[pa.RecordBatch] = []
