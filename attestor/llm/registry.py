@@ -68,11 +68,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP6_SQL = """
     with v as (
-        select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as x
+        select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as x
         from embeddings
-        where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+        where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
     ), scored as (
-        select q.vec_id as query_id, d.vec_id, cast(list_sum(list_transform(list_zip(q.x, d.x), p -> p[1] * p[2])) as bigint) as score
+        select q.vec_id as query_id, d.vec_id, cast(list_sum(list_transform(list_zip(q.x, d.x), lambda p: p[1] * p[2])) as bigint) as score
         from v q join v d on q.vec_id % 50 = 0 and d.vec_id <> q.vec_id
     ), ranked as (
         select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored
