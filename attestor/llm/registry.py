@@ -81,5 +81,22 @@ OP6_SQL = """
 """
 
 
+OP8_SQL = """
+    with recursive w as (
+        select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents
+    ), sets as (
+        select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+            else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from w
+    ), held as (select doc_id, len(s) as n, unnest(s) as g from sets
+    ), pairs as (
+        select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as i
+        from held a join held b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id
+    ), links as (select a, b from pairs where 100 * i >= 75 * (na + nb - i)
+    ), reach(doc_id, other) as (select doc_id, doc_id from sets union select links.b, reach.other from reach join links on links.a = reach.doc_id)
+    select sets.doc_id, cast(len(any_value(s)) as bigint) as n_shingles, min(other) as component_id, sets.doc_id = min(other) as kept
+    from sets join reach on sets.doc_id = reach.doc_id group by sets.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_topk_search": OP6_SQL}
+    return {"op8_minhash_near_dedup": OP8_SQL, "op6_exact_topk_search": OP6_SQL}
