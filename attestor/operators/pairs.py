@@ -182,9 +182,13 @@ def adjudicate(gated: DataFrame) -> DataFrame:
 
 
 def kept(adjudicated: DataFrame) -> DataFrame:
-    """Without unrelated pairs and without a document's agreement with itself."""
-    own = (F.col("relation") == "corroborates") & F.coalesce(_a("doc_id") == _b("doc_id"), F.lit(False))
-    return adjudicated.where((F.col("relation") != "unrelated") & ~own)
+    """Without unrelated pairs and without a document's agreement with itself.
+
+    One lookup of outcome and document, so that pushing the filter down copies the outcome's expression once.
+    """
+    stays = {f"{outcome}|{own}": relation != "unrelated" and not (own == "true" and relation == "corroborates") for outcome, relation in _outcomes()[0].items() for own in ("true", "false")}
+    own = F.coalesce(_a("doc_id") == _b("doc_id"), F.lit(False)).cast("string")
+    return adjudicated.where(_constant(stays, F.concat(F.col("outcome"), F.lit("|"), own)))
 
 
 def relations(pairs: DataFrame) -> DataFrame:

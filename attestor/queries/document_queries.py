@@ -100,8 +100,8 @@ def x12_triage_report(spark, sf_dir):
 
 
 def w06_packing(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.length("text").alias("size"))
-    return documents.pack(rows, "source", "doc_id", "size")
+    rows = _pages(spark, sf_dir).select("doc_id", "page", F.length("text").alias("size"))
+    return documents.pack(rows, "doc_id", "page", "size")
 
 
 def w07_pieces(spark, sf_dir):
@@ -111,7 +111,9 @@ def w07_pieces(spark, sf_dir):
 
 def w05_ffill_header(spark, sf_dir):
     """Lines of an order as header cells, blank where the line was returned."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("table_id"), F.lit(0).alias("row"), F.col("l_linenumber").alias("col"), F.when(F.col("l_returnflag") != "R", F.concat(F.lit("h"), F.col("l_linenumber").cast("string"))).otherwise(" ").alias("value"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"))
+    value = F.when(F.col("flag") != "R", F.concat(F.lit("h"), F.col("l_linenumber").cast("string"))).otherwise(" ")
+    rows = lines.select(F.col("l_orderkey").alias("table_id"), F.lit(0).alias("row"), F.col("l_linenumber").alias("col"), value.alias("value"))
     return documents.fill_header(rows).select("table_id", "col", "header")
 
 
@@ -133,7 +135,7 @@ def _boxes(spark, sf_dir):
     """Words of a page (one per order): lines at 10 pt steps."""
     lines = table(spark, sf_dir, "lineitem")
     top = (F.col("l_linenumber") * 10 + F.when(F.col("l_returnflag") == "R", -8).otherwise(0)).cast("double")
-    return lines.select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").cast("double").alias("x0"), top.alias("top"))
+    return lines.select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").cast("double").alias("x0"), top.alias("top")).distinct()
 
 
 def w09_lines(spark, sf_dir):
@@ -186,7 +188,7 @@ one as (select distinct b as node from ways where a = (select node from root)),
 first_relation as (select source_id, target_id from relations order by substring(sha1(concat_ws('|', source_id, target_id, relation)), 1, 12) limit 1)"""
 _LINEAGE = "select node from (select concat('fact:', {end}) as node from first_relation union select b from ways where a = (select concat('fact:', {end}) from first_relation)) "
 _PAGES = "customer_pages as (select c_nationkey as doc_id, c_custkey as page, c_acctbal as score, c_acctbal > 0 as candidate, row_number() over (partition by c_nationkey order by c_acctbal > 0 desc, c_acctbal desc, c_custkey) as rank, least(20, greatest(8, count(*) over (partition by c_nationkey) // 6)) as budget from customer)"
-_BOX = "boxes as (select l_orderkey as page_id, cast(l_linenumber as double) as x0, cast(l_linenumber * 10 + case when l_returnflag = 'R' then -8 else 0 end as double) as top from lineitem)"
+_BOX = "boxes as (select distinct l_orderkey as page_id, cast(l_linenumber as double) as x0, cast(l_linenumber * 10 + case when l_returnflag = 'R' then -8 else 0 end as double) as top from lineitem)"
 
 SQL = {
     "G-01_neighborhood": f"with {_EDGES}, two as (select distinct b as node from ways where a in (select node from one)) select node, 0 as depth from root union all select node, 1 from one union all select node, 2 from two where node not in (select node from one) and node not in (select node from root)",
@@ -197,16 +199,16 @@ SQL = {
     "G-09_edge_types": f"with {_EDGES} select type, count(*) as n from edges group by type",
     "P-19_search": f"with {CLAIMS_SQL}, a as (select distinct 1 as turn, 'entity' as type, subject as id from claims where contains(lower(subject), '1') order by id limit 90), b as (select distinct 2 as turn, 'document' as type, doc_id as id from claims where contains(doc_id, '1') order by id limit 90), c as (select 3 as turn, 'fact' as type, fact_id as id from claims where contains(lower(subject), '1') or contains(measure, '1') order by id limit 90), u as (select * from a union all select * from b union all select * from c) select type, id from u order by turn, id limit 30",
     "A-12_repeated_edge_lines": """with d as (select source, doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') as l from documents), t as (select * from d where len(l) > 0),
-        e as (select source, unnest(case when len(l) > 2 then list_concat(l[1:2], l[-2:]) else l[1:2] end) as line from t), n as (select source, count(*) as pages from t group by source)
+        e as (select source, unnest(case when len(l) > 2 then list_concat(l[1:2], l[-2:]) else l[1:2] end) as line from t), n as (select source, count(*) as pages from t group by source),
         c as (select source, regexp_replace(lower(trim(regexp_replace(line, '\\s+', ' ', 'g'))), '\\d+', '#', 'g') as line, count(*) as n from e group by all)
-        select c.source as doc_id, line, c.n from c join n using (source) where c.n >= greatest(2, ceil(0.01 * pages))""",
+        select c.source as doc_id, line, c.n as n from c join n as total on c.source = total.source where c.n >= greatest(2, ceil(0.01 * pages))""",
     "S-02_word_offsets": "with d as (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from documents where lang = 'en') select doc_id, len(string_split(t, ' ')) as words, length(t) as chars from d where t <> ''",
     "S-03_pages": "select doc_id, cast(ceil(len(string_split(coalesce(text, ''), chr(10))) / 3) as bigint) as pages from documents",
     "A-10_page_scores": "with o as (select strftime(o_orderdate, '%Y') as doc_id, cast(month(o_orderdate) as integer) as page, count(*) as n from orders where o_orderkey % 4 = 0 group by all) select doc_id, page, 2 as periods, 'candidate' as reason from o",
     "W-12_page_budget": f"with {_PAGES} select doc_id, page from customer_pages where candidate and rank <= budget",
     "X-12_triage_report": f"with {_PAGES} select doc_id, case when candidate and rank <= budget then 'selected' when candidate then 'over_budget' else 'not_candidate' end as outcome, count(*) as n from customer_pages group by all",
     "W-07_pieces": "select doc_id, cast(length(coalesce(text, '')) as bigint) as chars, true as fits from documents",
-    "W-05_ffill_header": "select l_orderkey as table_id, l_linenumber as col, last_value(case when l_returnflag <> 'R' then concat('h', l_linenumber) end ignore nulls) over (partition by l_orderkey order by l_linenumber) as header from lineitem",
+    "W-05_ffill_header": "with l as (select l_orderkey, l_linenumber, min(l_returnflag) as flag from lineitem group by all) select l_orderkey as table_id, l_linenumber as col, last_value(case when flag <> 'R' then concat('h', l_linenumber) end ignore nulls) over (partition by l_orderkey order by l_linenumber) as header from l",
     "A-20_row_labels": "select l_orderkey % 1000 as table_id, count(*) filter (l_linenumber % 2 = 0) <= count(*) / 2 as confident from lineitem group by 1",
     "J-08_cells_matching": "select a.l_orderkey as table_id, b.l_linenumber as col from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = 1 where b.l_returnflag <> 'R' and cast(floor(b.l_quantity) as integer) % 10 <> 0 and abs(floor(a.l_quantity) - floor(b.l_quantity)) <= case when floor(b.l_quantity) >= 1 then 0.5 else 0.05 end + 5 * power(10, floor(log10(floor(a.l_quantity))) - 4)",
     "W-09_lines": f"with {_BOX}, s as (select *, case when top - lag(top) over (partition by page_id order by top, x0) > 3 then 1 else 0 end as step from boxes) select page_id, x0, cast(sum(step) over (partition by page_id order by top, x0 rows unbounded preceding) as integer) as line from s",

@@ -29,7 +29,7 @@ TABLES = {
 SCHEMAS = {
     "documents": T.StructType().add("doc_id", "string", False).add("filename", "string").add("content_sha256", "string"),
     "measure_registry": T.StructType().add("canonical", "string", False).add("example", "string"),
-    "rejected_facts": T.StructType().add("raw_fact", "string").add("doc_id", "string").add("page", "int").add("reason", "string").add("detail", "string"),
+    "rejected_facts": T.StructType().add("raw_fact", "string").add("doc_id", "string").add("page", "integer").add("reason", "string").add("detail", "string"),
     "resolution_log": T.StructType().add("kind", "string").add("raw", "string").add("canonical", "string").add("tier", "string").add("confidence", "double").add("detail", "string"),
 }
 
