@@ -1,14 +1,17 @@
 """Mixing documents to target domain weights by soft membership; DataFrame functions only.
 
 1. A naive-Bayes classifier over hashed words is fitted on the labelled table (a
-   bounded sample of it) and gives every document a posterior over the domains.
+   bounded sample of it) and gives every document a posterior over the domains. A word speaks only for
+   the domain where it is significantly more frequent than in each other one (log-odds of `STRONG` or more, a root likelihood ratio
+   of `SIGNIFICANT`), once for a document, so that long texts don't add up noise.
 2. Each document gets a nonnegative rate so that the expected tokens of each
    domain, the sum of rate * tokens * posterior, meet the targets. Projected
    gradient steps minimise the squared gaps. Each step is one aggregate over the
    table of tokens and posteriors that returns one number for each domain; the rates
    themselves are never stored: a step is max(0, rate - posterior . g), an
-   expression over the posteriors. The gradient is scaled by the inverse Gram
-   matrix of the posteriors, so that few steps are needed, and a step that doesn't lower the gaps is halved.
+   expression over the posteriors. The gradient is scaled by the inverse Gram matrix of the posteriors of all
+   documents with a rate over 0, so that few steps are needed, and a step that doesn't lower the gaps is halved.
+   Equal rows count once in the sums.
 3. `copies` rounds the rate at random by a hash of doc_id: floor(rate + u).
 
 Starting from 1, the rates change as little as the targets allow (in the metric of tokens).
@@ -21,7 +24,6 @@ budget's; a domain that has no tokens can't be met and is left out of the target
 
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -29,14 +31,18 @@ from pyspark.sql import functions as F
 
 from .common import sample_below, saved
 
-BUCKETS = 4096
-MAX_TRAIN = 4000
+MAX_TRAIN = 9000
+#: Words that the classifier keeps at most, the most significant ones; bounds what is collected and broadcast.
+MAX_WORDS = 20_000
+SIGNIFICANT, STRONG = 5.0, 1.0
 MAX_DOMAINS = 16
-MAX_STEPS = 12
+MAX_STEPS = 20
 CLOSE = 1e-4
 SMOOTHING = 0.5
-#: Words whose evidence counts in full; more only sharpen the posterior by the root.
-FULL_WORDS = 50
+#: Words from which on the absence of a domain's words counts in full, and how much it counts at most.
+ABSENT_WORDS, LEAST_ABSENT = 100, -4.0
+#: Posteriors that may be broadcast (some 50 MB); more meet the documents in a merge join.
+BROADCAST_ROWS = 500_000
 
 
 def word_list(text: Column) -> Column:
@@ -44,50 +50,90 @@ def word_list(text: Column) -> Column:
 
 
 def _bucket(word: Column) -> Column:
-    return F.pmod(F.hash(word), F.lit(BUCKETS))
+    """The 32-bit hash that stands for a word."""
+    return F.hash(word)
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], list[float], list[list[float]]]:
-    """Domains, log-priors and log-probabilities by bucket; `labels` is (doc_id, domain)."""
+#: Domains, log-priors, by word the log-odds of the one domain that it speaks for, and by domain what it says when none of its words is there.
+Model = tuple[list[str], list[float], dict[int, list[float]], list[float]]
+
+
+def fit_domains(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
+    """The classifier's model, as above.
+
+    `labels` is (doc_id, domain). A word counts once for each document.
+    """
     labels = labels.where("doc_id is not null and domain is not null").select("doc_id", F.col("domain").cast("string").alias("domain"))
     sizes = {r["domain"]: r["n"] for r in labels.groupBy("domain").agg(F.count("*").alias("n")).limit(MAX_DOMAINS + 1).collect()}
     if len(sizes) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains")
     if not sizes:
-        return ["all"], [0.0], [[0.0] * BUCKETS]
+        return ["all"], [0.0], {}, [0.0]
     domains = sorted(sizes)
     taken = F.lit(False)
     for d in domains:
         taken = taken | ((F.col("domain") == d) & sample_below(F.col("doc_id"), min(1.0, max_train / len(domains) / sizes[d])))
     # at most about max_train rows
     some = F.broadcast(labels.where(taken))
-    rows = docs.select("doc_id", "text").join(some, "doc_id").select("domain", F.explode(F.array_distinct(word_list(F.col("text")))).alias("w")).groupBy("domain", _bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n")).collect()
-    counts = {d: [SMOOTHING] * BUCKETS for d in domains}
-    for r in rows:
-        counts[r["domain"]][r["b"]] += r["n"]
+    rows = docs.select("doc_id", "text").join(some, "doc_id").select("domain", F.transform(word_list(F.col("text")), _bucket).alias("all"))
+    # copies of one text would make its words look typical of its domain: one of those with equal least word triples stays
+    triples = F.when(F.size("all") >= 3, F.transform(F.sequence(F.lit(0), F.size("all") - 3), lambda i: F.struct(F.get("all", i), F.get("all", i + 1), F.get("all", i + 2))))
+    least = lambda seed: F.array_min(F.transform("triples", lambda t: F.xxhash64(t, F.lit(seed))))
+    rows = rows.withColumn("triples", triples).select("domain", F.array_distinct("all").alias("buckets"), *[F.coalesce(least(i), F.hash("all")).alias(f"m{i}") for i in range(3)])
+    for i in range(3):
+        rows = rows.dropDuplicates(["domain", f"m{i}"])
+    rows = saved(rows.select("domain", "buckets"))
     total = sum(sizes.values())
-    return domains, [math.log(sizes[d] / total) for d in domains], [[math.log(x / sum(counts[d])) for x in counts[d]] for d in domains]
-
-
-def posteriors(docs: DataFrame, model: tuple[list[str], list[float], list[list[float]]]) -> DataFrame:
-    """`docs` with `tokens` and `p`, the array of domain posteriors."""
-    domains, prior, log_prob = model
-    # per bucket, the log-odds of each domain against the mean, as one constant of a few hundred kB at most
-    mean = [sum(x) / len(domains) for x in zip(*log_prob, strict=True)]
-    odds = [F.from_json(F.lit(json.dumps([round(a - m, 6) for a, m in zip(own, mean, strict=True)])), "array<double>") for own in log_prob]
-    buckets = F.transform(F.col("__words"), _bucket)
-    out = docs.withColumn("__words", F.array_distinct(word_list(F.col("text")))).withColumn("tokens", F.size(word_list(F.col("text"))).cast("long"))
-    zero = F.struct(*[F.lit(0.0).alias(f"s{k}") for k in range(len(domains))])
-    sums = F.aggregate(buckets, zero, lambda acc, b: F.struct(*[(acc[f"s{k}"] + F.get(odds[k], b)).alias(f"s{k}") for k in range(len(domains))]))
-    out = out.withColumn("__sums", sums)
-    weight = F.least(F.lit(1.0), F.sqrt(F.lit(float(FULL_WORDS)) / F.greatest(F.size("__words"), F.lit(1))))
-    logits = [F.lit(prior[k]) + F.col("__sums")[f"s{k}"] * weight for k in range(len(domains))]
-    out = out.withColumn("__logits", F.array(*logits))
-    top = F.array_max("__logits")
-    out = out.withColumn("__e", F.transform("__logits", lambda x: F.exp(x - F.array_max("__logits"))))
-    del top
-    norm = F.aggregate("__e", F.lit(0.0), lambda a, x: a + x)
-    return out.withColumn("p", F.transform("__e", lambda x: x / norm)).drop("__words", "__sums", "__logits", "__e")
+    n = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    everyone = sum(n.values())
+    held = rows.select("domain", F.explode("buckets").alias("b")).groupBy("b").agg(F.count("*").alias("whole"), *[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)])
+    # each word against the domain that comes second in its rate
+    k = range(len(domains))
+    rate = [(F.col(f"n{i}") + SMOOTHING) / (n.get(d, 0) + 1) for i, d in enumerate(domains)]
+    values, sizes_of = [], []
+    for i, d in enumerate(domains):
+        rivals = [F.struct(rate[j].alias("rate"), F.col(f"n{j}").alias("n"), F.lit(n.get(domains[j], 0) + 1).alias("all")) for j in k if j != i]
+        rival = F.greatest(*rivals) if len(rivals) > 1 else rivals[0] if rivals else F.struct(rate[i].alias("rate"), F.col(f"n{i}").alias("n"), F.lit(1).alias("all"))
+        mine, all_mine = F.col(f"n{i}"), n.get(d, 0) + 1
+        share = (mine + rival["n"]) / (all_mine + rival["all"])
+        term = lambda got, size: F.when(got > 0, got * F.log(got / (share * size))).otherwise(0.0)  # noqa: B023, E731
+        value = F.log(rate[i] / rival["rate"])
+        size = F.sqrt(F.greatest(F.lit(0.0), 2 * (term(mine, all_mine) + term(rival["n"], rival["all"]))))
+        counts = (size >= SIGNIFICANT) & (value >= STRONG)
+        values += [F.when(counts, value).otherwise(0.0).alias(f"s{i}"), F.when(counts, F.log((1.01 - rate[i]) / (1.01 - rival["rate"]))).otherwise(0.0).alias(f"a{i}")]
+        sizes_of.append(F.when(counts, size).otherwise(0.0))
+    most = F.greatest(*sizes_of) if len(domains) > 1 else F.lit(0.0)
+    kept = held.select("b", most.alias("size"), *values).where("size > 0").orderBy(F.col("size").desc(), "b").limit(MAX_WORDS)
+    rows = kept.collect()
+    odds = {r["b"]: [r[f"s{i}"] for i in k] for r in rows}
+    absent = [max(LEAST_ABSENT, sum(r[f"a{i}"] for r in rows)) for i in k]
+    return domains, [math.log(sizes[d] / total) for d in domains], odds, absent
+
+
+def _key() -> Column:
+    """Stands for a row; equal rows share it and get the same rate."""
+    return F.xxhash64(F.col("doc_id").cast("string"), "text")
+
+
+def posteriors(docs: DataFrame, model: Model) -> DataFrame:
+    """(key, tokens, p) for every different row that has words; p is the array of domain posteriors.
+
+    Words meet a table of at most MAX_WORDS rows of log-odds; those without any are dropped and the rest
+    summed on the map side, so that one row for each document is shuffled.
+    """
+    domains, prior, odds, absent = model
+    k = range(len(domains))
+    table = docs.sparkSession.createDataFrame([(b, *row) for b, row in odds.items()], "b int, " + ", ".join(f"s{i} double" for i in k))
+    rows = docs.select(_key().alias("key"), word_list(F.col("text")).alias("words"))  # before the words are dealt out, else once for each
+    words = rows.select("key", F.size("words").cast("long").alias("tokens"), F.posexplode(F.array_distinct("words")).alias("at", "w")).select("key", "tokens", "at", _bucket(F.col("w")).alias("b"))
+    hits = words.join(F.broadcast(table), "b", "left").where("at = 0 or s0 is not null")
+    # equal rows add up alike, which their number takes back
+    sums = hits.groupBy("key", "tokens").agg(F.count_if(F.col("at") == 0).alias("rows"), *[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)).alias(f"s{i}") for i in k])
+    long = F.least(F.lit(1.0), F.col("tokens") / ABSENT_WORDS)
+    sums = sums.withColumn("logits", F.array(*[F.lit(prior[i]) + F.lit(absent[i]) * long + F.col(f"s{i}") / F.col("rows") for i in k]))
+    sums = sums.withColumn("e", F.transform("logits", lambda x: F.exp(x - F.array_max("logits"))))
+    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
+    return sums.select("key", "tokens", F.transform("e", lambda x: x / total).alias("p"))
 
 
 def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
@@ -129,21 +175,27 @@ def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], b
     if not sum(wanted):
         wanted = mass
     target = [budget * x / sum(wanted) for x in wanted]
-    gram = [[first[f"g{min(i, j)}_{max(i, j)}"] / total + (1e-9 if i == j else 0.0) for j in k] for i in k]
+    pairs = [(i, j) for i in k for j in k if j >= i]
+
+    def square(row) -> list[list[float]]:
+        return [[row[f"g{min(i, j)}_{max(i, j)}"] / total + (1e-9 if i == j else 0.0) for j in k] for i in k]
 
-    def gaps(steps: list[list[float]]) -> list[float]:
-        got = table.agg(*[F.sum(F.col("tokens") * part(i) * _rate(steps)).alias(f"m{i}") for i in k]).first()
-        return [got[f"m{i}"] / total - target[i] for i in k]
+    def after(steps: list[list[float]]) -> tuple[list[float], list[list[float]]]:
+        """The gaps, and the Gram matrix of the documents that still have a rate."""
+        rated = table.withColumn("r", _rate(steps))
+        moves = F.when(F.col("r") > 0, F.col("tokens")).otherwise(0)
+        got = rated.agg(*[F.sum(F.col("tokens") * part(i) * F.col("r")).alias(f"m{i}") for i in k], *[F.sum(moves * part(i) * part(j)).alias(f"g{i}_{j}") for i, j in pairs]).first()
+        return [got[f"m{i}"] / total - target[i] for i in k], square(got)
 
     steps: list[list[float]] = []
-    gap, scale = [m - t for m, t in zip(mass, target, strict=True)], 1.0
+    gap, gram, scale = [m - t for m, t in zip(mass, target, strict=True)], square(first), 1.0
     for _ in range(MAX_STEPS):
-        if max(map(abs, gap)) < CLOSE or scale < 1e-3:
+        if max(map(abs, gap)) < CLOSE or scale < 1e-2:
             break
         tried = [*steps, [scale * x for x in _solve(gram, gap)]]
-        after = gaps(tried)
-        if sum(x * x for x in after) < sum(x * x for x in gap):
-            steps, gap = tried, after
+        new_gap, new_gram = after(tried)
+        if sum(x * x for x in new_gap) < sum(x * x for x in gap):
+            steps, gap, gram, scale = tried, new_gap, new_gram, 1.0
         else:
             scale /= 2
     return steps, gap
@@ -156,12 +208,17 @@ def mix(docs: DataFrame, labels: DataFrame, source: DataFrame, weights: dict[str
     `source`; `weights` are target shares by domain, and `budget` the expected tokens over those there are.
     """
     model = fit_domains(source, labels)
-    rows = posteriors(docs, model)
-    steps, _ = fit_rates(saved(rows.select("tokens", "p")), model[0], weights, budget)
+    weighed = saved(posteriors(docs, model))
+    steps, _ = fit_rates(weighed, model[0], weights, budget)
+    few = weighed.count() <= BROADCAST_ROWS
+    keep = [c for c in docs.columns if c not in ("tokens", "p", "rate", "copies")]
+    rows = docs.select(*keep, _key().alias("__key")).join((F.broadcast(weighed) if few else weighed.hint("merge")).withColumnRenamed("key", "__key"), "__key", "left")
+    rows = rows.withColumn("p", F.coalesce("p", F.array(*[F.lit(math.exp(x)) for x in model[1]]))).withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     # a document without tokens weighs nothing in any sum and is kept once
-    rate = F.when(F.col("tokens") == 0, F.lit(1.0)).otherwise(_rate(steps) if steps else F.lit(float(budget)))
+    rate = F.when(F.col("tokens") == 0, F.lit(1.0)).otherwise(_rate(steps))
     uniform = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    return rows.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + F.coalesce(uniform, F.lit(0.5))).cast("int"))
+    rows = rows.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + F.coalesce(uniform, F.lit(0.5))).cast("int"))
+    return rows.select(*keep, "tokens", "p", "rate", "copies")
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

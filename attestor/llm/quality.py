@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc32_text, sample_below
-from .textbatch import pieces, utf8, words
+from .textbatch import give_back, pieces, utf8, words
 
 PASSAGE_WORDS = 64
 PAIR_BUCKETS = 32
@@ -143,7 +143,8 @@ class AttentionModel:
 
     def train(self, bags: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> AttentionModel:
         every = np.concatenate(bags)
-        self.mean, self.spread = every.mean(axis=0), every.std(axis=0) + 1e-3
+        self.mean, self.spread = every.mean(axis=0, dtype=np.float64), every.std(axis=0, dtype=np.float64) + 1e-3
+        del every
         bags = [self._standard(b) for b in bags]
         rng, p, step = np.random.default_rng(seed), self.p, 0
         m1 = {k: np.zeros_like(x) for k, x in p.items()}
@@ -196,8 +197,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Atten
     y = np.array([r["y"] for r in rows])
     if y.min() == y.max():
         return AttentionModel(constant=(y.sum() + 1) / (len(y) + 2))
-    bags = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES).astype(np.float64) for r in rows]
-    return AttentionModel().train(bags, y)
+    bags = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in rows]
+    del rows
+    model = AttentionModel().train(bags, y)
+    del bags
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: AttentionModel) -> DataFrame:

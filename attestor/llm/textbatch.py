@@ -154,21 +154,24 @@ def shingle_sets(w: Words, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarr
     return (np.concatenate(out) if out else np.empty(0, np.uint64)), np.concatenate([[0], np.cumsum(sizes)])
 
 
+def give_back() -> None:
+    """Returns memory that this process has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same batches; after each, and at the end, freed memory goes back to the system.
 
     Python workers outlive their tasks, and what one has freed would still count for the executor.
     """
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     for batch in batches:
         yield batch
         del batch
-        pa.default_memory_pool().release_unused()
-        if trim:
-            trim(0)
-    pa.default_memory_pool().release_unused()
-    if trim:
-        trim(0)
+        give_back()
+    give_back()
 
 
 def key_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
