@@ -213,3 +213,11 @@ def test_query_matches_its_sql(spark, name):
     show = lambda x: "~" if x is None else f"{x:.6g}" if isinstance(x, float) else str(x)
     normal = lambda rows, names: sorted(tuple(show(r[names.index(c)]) for c in columns) for r in rows)
     assert normal([tuple(r) for r in df.collect()], df.columns) == normal(expected.fetchall(), expected.columns)
+
+
+def test_functions_in_sql_text(spark):
+    from attestor.operators import sql_functions
+
+    sql_functions.register(spark)
+    r = spark.sql("select parse_quantity('Rs. 120.4 Cr', '') as q, verify_value('5', 'it was 5', '') as v, text_similarity('abcd', 'abce') as s, parse_quantity('none', '') as n").first()
+    assert r["q"]["value"] == Decimal(1204000000) and r["q"]["sig_figs"] == 4 and r["v"]["status"] == "verified" and r["s"] == 0.75 and r["n"]["value"] is None
