@@ -13,7 +13,7 @@ are. For each block the documents are read twice, without any shuffle of texts:
    -0.5); all windows of a batch advance together in numpy. The score over the
    item's word count, at least `THRESHOLD`, marks a copy, also a paraphrased or edited one.
 
-Defined cases: words are runs of non-blanks, lower-cased (A-Z), whose marks at
+Defined cases: words are runs of non-blanks, lower-cased (A-Z and Latin-1), whose marks at
 either end don't count; an item of fewer than n words has all its words as its
 one n-gram; an item without words matches nothing; a null or empty text holds
 nothing; equal items are reported each; repeated documents are reported each; an empty table gives an empty result.
@@ -45,7 +45,11 @@ _PLAIN[[b for b in range(33, 127) if not chr(b).isalnum()]] = 32
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    return words(_PLAIN[data], offsets)
+    plain = _PLAIN[data]
+    # the capitals from U+00C0 to U+00DE, two bytes each
+    accented = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    plain[1:][accented] += 0x20
+    return words(plain, offsets)
 
 
 class Items:

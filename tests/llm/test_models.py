@@ -156,12 +156,12 @@ def test_topk_query_with_odd_vectors(spark, tmp_path):
 
 
 def test_copies_of_items_are_found(spark):
-    items = {1: prose(35, 1), 2: prose(30, 2), 3: None, 4: "two words", 5: "", 6: prose(30, 2)}
+    items = {1: prose(35, 1), 2: "éÀñ " + prose(30, 2) + " Öst", 3: None, 4: "two words", 5: "", 6: "éÀñ " + prose(30, 2)}
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     words = items[1].split()
     swapped = " ".join("other" if i % 9 == 4 else w.upper() + "," for i, w in enumerate(words))
     texts = dict(ODD)
-    texts |= {10: prose(80, 10) + " " + items[1] + " " + prose(20, 11), 11: prose(50, 12) + " " + swapped, 12: items[2], 13: prose(9, 5) + " two words " + prose(9, 6), 14: " ".join(words[:9]) + prose(60, 7)}
+    texts |= {10: prose(80, 10) + " " + items[1] + " " + prose(20, 11), 11: prose(50, 12) + " " + swapped, 12: items[2].upper(), 13: prose(9, 5) + " two words " + prose(9, 6), 14: " ".join(words[:9]) + prose(60, 7)}
     texts |= {100 + i: prose(150, 5000 + i) for i in range(40)}
     docs = documents(spark, texts, item_id="x")
     got = {(r["doc_id"], r["item_id"]): r for r in decontamination.find_copies(docs, bench).collect()}
