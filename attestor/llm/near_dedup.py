@@ -219,11 +219,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = saved(docs.mapInArrow(_sign, f"doc_id {kind}, n_shingles long, k1 long, k2 long, lanes binary, shallow array<long>, deep array<long>"))
     same = ["n_shingles", "k1", "k2"]
-    heads = signed.where("n_shingles > 0").groupBy(same).agg(F.min("doc_id").alias("head"))
-    members = saved(signed.select("doc_id", *same).join(heads, same, "left").select("doc_id", "n_shingles", F.coalesce("head", "doc_id").alias("head")))
+    # written first, so that both sides of the join are dealt anew and a very large group of copies is split
+    heads = saved(signed.where("n_shingles > 0").groupBy(same).agg(F.min("doc_id").alias("head")))
+    members = saved(signed.select("doc_id", *same).join(heads.hint("merge"), same, "left").select("doc_id", "n_shingles", F.coalesce("head", "doc_id").alias("head")))
     chosen = members.where("doc_id = head and n_shingles > 0").select("doc_id").distinct()
     classes = saved(signed.select("doc_id", "lanes", "shallow", "deep").join(chosen, "doc_id"))
     dropped(signed)
+    dropped(heads)
 
     met = _regions(classes).join(classes.select("doc_id", "lanes"), "doc_id")
     loose = met.repartition("cell").sortWithinPartitions("cell").mapInArrow(_neighbours, f"a {kind}, b {kind}")
