@@ -38,6 +38,8 @@ from .textbatch import Prefix, key_runs, pieces, trimmed, utf8
 LENGTH = 400
 ANCHOR = 200
 SHARD_BYTES = 3 << 20
+#: Bytes whose anchors are sought at once.
+ANCHOR_BYTES = 1 << 20
 CROWDED = 4096
 #: Rows that may be broadcast (some 50 MB); more meet in a merge join.
 BROADCAST_ROWS = 1_000_000
@@ -103,7 +105,7 @@ def _ranges(mask: np.ndarray) -> np.ndarray:
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in trimmed(batches):
         data, offsets = utf8(batch.column("text"))
-        for lo, hi in pieces(offsets):
+        for lo, hi in pieces(offsets, ANCHOR_BYTES):
             text, start, count, h, c = contexts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             yield pa.RecordBatch.from_arrays([batch.column("rid").take(pa.array(lo + text)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(h), pa.array(c)], names=["rid", "start", "starts", "h", "c"])
 
