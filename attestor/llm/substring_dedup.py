@@ -37,10 +37,10 @@ from .textbatch import Prefix, key_runs, pieces, trimmed, utf8
 
 LENGTH = 400
 ANCHOR = 200
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 3 << 19
 #: Bytes whose anchors are sought at once.
 ANCHOR_BYTES = 1 << 20
-CROWDED = 4096
+CROWDED = 2048
 #: Rows that may be broadcast (some 50 MB); more meet in a merge join.
 BROADCAST_ROWS = 1_000_000
 
