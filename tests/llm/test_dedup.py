@@ -143,6 +143,27 @@ def test_fuzzy_passages_are_found_and_clean_texts_left_alone(spark):
     assert chaining.fuzzy_passages(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_fuzzy_passages_whose_parts_smaller_documents_hold_are_found(spark):
+    w = prose(60, 8).split()
+    whole, front, back = " ".join(w), " ".join(w[:30]), " ".join(w[30:])
+    inside = {1: front, 2: back, 3: back, 5: whole, 6: front, 7: whole, 8: edited(whole, 3, 1)}
+    texts = {k: f"{prose(50, 700 + k)} {t} {prose(50, 800 + k)}" for k, t in inside.items()}
+    got = chaining.fuzzy_passages(documents(spark, texts)).collect()
+    assert {(r["doc_id"], r["other_doc_id"]) for r in got} >= {(7, 5)}
+    assert {r["doc_id"] for r in got} == {7, 8} and {r["other_doc_id"] for r in got} <= {5, 7}
+
+
+def test_common_seeds_alone_make_no_chain():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        at = np.unique(rng.integers(0, 600, 40))
+        mark = chaining.common(at, rng.integers(2, 1000, len(at)))
+        assert mark.any()
+        place = at[mark]
+        for run in np.split(place, np.flatnonzero(np.diff(place) > chaining.K + chaining.FAR) + 1):
+            assert run[-1] + chaining.K - run[0] < chaining.MIN_CHAIN
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_chain_matches_quadratic_scoring(seed):
     rng = np.random.default_rng(seed)
