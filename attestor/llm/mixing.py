@@ -158,8 +158,15 @@ def _rate(steps: list[list[float]]) -> Column:
     return rate
 
 
-def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], budget: float = 1.0) -> tuple[list[list[float]], list[float]]:
-    """Gradient steps and the remaining gaps (as shares of all tokens); `table` has tokens and p."""
+def bounded(mass: list[float], target: list[float], kept: int) -> list[float]:
+    """The targets with each domain but `kept` at its mass at most; `kept` gets what they leave, and its own mass at least."""
+    out = [min(m, t) for m, t in zip(mass, target, strict=True)]
+    out[kept] = max(mass[kept], sum(target) - sum(t for i, t in enumerate(out) if i != kept))
+    return out
+
+
+def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], budget: float = 1.0, keep: str | None = None) -> tuple[list[list[float]], list[float]]:
+    """Gradient steps and the remaining gaps (as shares of all tokens); `table` has tokens and p, `keep` is as in `mix`."""
     k = range(len(domains))
     part = lambda i: F.get(F.col("p"), F.lit(i))
     first = table.agg(
@@ -175,6 +182,8 @@ def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], b
     if not sum(wanted):
         wanted = mass
     target = [budget * x / sum(wanted) for x in wanted]
+    if keep in domains:
+        target = bounded(mass, target, domains.index(keep))
     pairs = [(i, j) for i in k for j in k if j >= i]
 
     def square(row) -> list[list[float]]:
@@ -201,21 +210,26 @@ def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], b
     return steps, gap
 
 
-def mix(docs: DataFrame, labels: DataFrame, source: DataFrame, weights: dict[str, float], budget: float = 1.0) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, source: DataFrame, weights: dict[str, float], budget: float = 1.0, keep: str | None = None) -> DataFrame:
     """`docs` with tokens, p, rate and copies.
 
     The classifier is fitted on `labels` (doc_id, domain) and the texts of
     `source`; `weights` are target shares by domain, and `budget` the expected tokens over those there are.
+    No document that is most likely of the domain `keep` gets a rate below 1, and no other one a rate above 1.
     """
     model = fit_domains(source, labels)
     weighed = saved(posteriors(docs, model))
-    steps, _ = fit_rates(weighed, model[0], weights, budget)
+    steps, _ = fit_rates(weighed, model[0], weights, budget, keep)
     few = weighed.count() <= BROADCAST_ROWS
     keep = [c for c in docs.columns if c not in ("tokens", "p", "rate", "copies")]
     rows = docs.select(*keep, _key().alias("__key")).join((F.broadcast(weighed) if few else weighed.hint("merge")).withColumnRenamed("key", "__key"), "__key", "left")
     rows = rows.withColumn("p", F.coalesce("p", F.array(*[F.lit(math.exp(x)) for x in model[1]]))).withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     # a document without tokens weighs nothing in any sum and is kept once
     rate = F.when(F.col("tokens") == 0, F.lit(1.0)).otherwise(_rate(steps))
+    if keep in model[0]:
+        # the last step may leave a small gap, and mixed posteriors lie between the domains
+        own = F.get("p", F.lit(model[0].index(keep))) >= F.array_max("p")
+        rate = F.when(own, F.greatest(F.lit(1.0), rate)).otherwise(F.least(F.lit(1.0), rate))
     uniform = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     rows = rows.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + F.coalesce(uniform, F.lit(0.5))).cast("int"))
     return rows.select(*keep, "tokens", "p", "rate", "copies")

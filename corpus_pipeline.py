@@ -14,7 +14,8 @@ from attestor.llm import decontamination, mixing, near_dedup, quality, sharding
 from attestor.llm.common import saved, table
 
 #: Target shares of tokens by domain, and the budget over the tokens there are. What toxic and low documents lose
-#: goes to the clean ones, whose rates therefore stay above one: none of them is left out.
+#: goes to the clean ones. Where they hold less than their target, they aren't repeated: their share is bounded by
+#: what there is (see mixing.bounded), so that no clean document is left out.
 MIX_WEIGHTS = {"clean": 0.97, "toxic": 0.02, "low": 0.01}
 MIX_BUDGET = 1.0
 
@@ -41,7 +42,7 @@ def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents by their rate, so that the domains' expected tokens meet MIX_WEIGHTS."""
     labels = mixing.label_domains(table(spark, sf_dir, "labels"))
-    mixed = mixing.mix(docs, labels, docs, MIX_WEIGHTS, MIX_BUDGET)
+    mixed = mixing.mix(docs, labels, docs, MIX_WEIGHTS, MIX_BUDGET, keep="clean")
     return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
 
 

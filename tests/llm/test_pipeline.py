@@ -44,6 +44,18 @@ def test_stages_keep_and_drop_what_they_should(spark, tmp_path):
     assert seen[4][1].count() == seen[3][1].count()
 
 
+def test_clean_documents_stay_where_hardly_any_are_toxic(spark, tmp_path):
+    texts = {i: prose(120, i) for i in range(600)} | {600 + i: " ".join([f"vile{i} awful nasty foul"] * 2) for i in range(40)}
+    spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts.items()], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, int(k >= 600)) for k in texts], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    words = {k: len(t.split()) for k, t in texts.items()}
+    assert sum(n for k, n in words.items() if k >= 600) < 0.01 * sum(words.values())
+    copies = {r["doc_id"]: r["count"] for r in corpus_pipeline._mix(spark, docs, str(tmp_path)).groupBy("doc_id").count().collect()}
+    assert set(range(600)) <= set(copies)
+    assert all(copies.get(k, 0) <= 1 for k in range(600, 640))
+
+
 def test_run_gives_the_last_stage_and_bears_no_documents(spark, tmp_path):
     _tables(spark, tmp_path)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 100
