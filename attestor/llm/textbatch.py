@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes worked on at once; bounds the memory of a Python worker.
 PIECE_BYTES = 2 << 20
@@ -19,6 +20,7 @@ SHINGLE_WORDS = 5
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_SEED = 20240613
 
 #: Lower-cases A-Z and leaves every other byte alone.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -41,6 +43,11 @@ def _series(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def series(n: int, inverse: bool = False) -> np.ndarray:
+    """The first n powers of an odd number modulo 2 ** 64, or of its inverse."""
+    return _series(_INVERSE if inverse else _BASE, n)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     x = x.astype(np.uint64, copy=True)
@@ -76,7 +83,11 @@ def pieces(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int,
 
 
 class Prefix:
-    """Prefix sums that give a 64-bit hash of any byte range at once."""
+    """Prefix sums that give a 64-bit hash of any byte range at once.
+
+    Long ranges of a special form can collide (sums of powers modulo 2 ** 64), so a
+    caller may only use it to bring ranges together that are compared afterwards.
+    """
 
     def __init__(self, data: np.ndarray):
         n = len(data)
@@ -88,6 +99,33 @@ class Prefix:
         return mix64((self.sums[end] - self.sums[start]) * self.inverse[start])
 
 
+#: Words up to so many bytes are hashed eight bytes at a time for all words at once; longer ones each on its own.
+SHORT_BYTES = 64
+
+
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range, without the structure that sums of powers leave.
+
+    Every eight bytes are mixed into the state by a bijection, so ranges of one length that
+    differ in their last eight bytes alone never collide, and others as 64 random bits would.
+    """
+    size = end - start
+    out = mix64(size.astype(np.uint64) + np.uint64(_BASE))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    some = np.flatnonzero((size > 0) & (size <= SHORT_BYTES))
+    for at in range(0, SHORT_BYTES, 8):
+        some = some[size[some] > at]
+        if not len(some):
+            break
+        rest = np.minimum(size[some] - at, 8).astype(np.uint64)
+        chunk = eight[start[some] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * rest))
+        out[some] = mix64((out[some] ^ chunk) * np.uint64(_BASE) + np.uint64(at + 1))
+    for i in np.flatnonzero(size > SHORT_BYTES):
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), _SEED)
+    return out
+
+
 @dataclass
 class Words:
     """Words of several texts; `first[d]` is the index of text d's first word."""
@@ -110,7 +148,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
     border[offsets] = True
     start = np.flatnonzero(inside[1:] & (~inside[:-1] | border))
     end = np.flatnonzero(inside[:-1] & (~inside[1:] | border))
-    hashed = Prefix(LOWER[data] if lower else data).of(start, end) if n else np.empty(0, np.uint64)
+    hashed = hash_ranges(LOWER[data] if lower else data, start, end) if n else np.empty(0, np.uint64)
     return Words(np.searchsorted(start, offsets), start, end, hashed)
 
 

@@ -153,35 +153,90 @@ def test_fuzzy_passages_whose_parts_smaller_documents_hold_are_found(spark):
     assert {r["doc_id"] for r in got} == {7, 8} and {r["other_doc_id"] for r in got} <= {5, 7}
 
 
-def test_common_seeds_alone_make_no_chain():
-    rng = np.random.default_rng(3)
-    for _ in range(200):
-        at = np.unique(rng.integers(0, 600, 40))
-        mark = chaining.common(at, rng.integers(2, 1000, len(at)))
-        assert mark.any()
-        place = at[mark]
-        for run in np.split(place, np.flatnonzero(np.diff(place) > chaining.K + chaining.FAR) + 1):
-            assert run[-1] + chaining.K - run[0] < chaining.MIN_CHAIN
+def test_bits_in_smaller_documents_do_not_come_between(spark):
+    w = prose(60, 41).split()
+    texts = {i: f"{prose(20, 900 + i)} {' '.join(w[9 * i : 9 * i + 14])} {prose(20, 950 + i)}" for i in range(6)}
+    texts |= {k: f"{prose(30, k)} {' '.join(w)} {prose(30, k + 1)}" for k in (20, 21)}
+    # and bits that overlap, so that no seed of the passage is the two documents' own
+    other = prose(60, 42).split()
+    texts |= {30: " ".join(other[:40]) + " " + prose(9, 1), 31: " ".join(other[20:]) + " " + prose(9, 2), 40: prose(9, 3) + " " + " ".join(other), 41: " ".join(other) + " " + prose(9, 4)}
+    got = {(r["doc_id"], r["other_doc_id"]): r for r in chaining.fuzzy_passages(documents(spark, texts)).collect()}
+    assert (21, 20) in got and (41, 40) in got
+    assert (got[21, 20]["start_word"], got[21, 20]["end_word"], got[21, 20]["matched_words"]) == (30, 90, 60)
+    assert {a for a, _ in got} == {21, 41}
+
+
+def shared_windows(texts, n):
+    holders = {}
+    for k, t in texts.items():
+        w = (t or "").lower().split()
+        for i in range(len(w) - n + 1):
+            holders.setdefault(tuple(w[i : i + n]), set()).add(k)
+    return {k for v in holders.values() if len(v) > 1 for k in v}
+
+
+def test_every_exact_passage_is_found(spark):
+    rng, texts = random.Random(8), dict(ODD)
+    passages = [prose(rng.randrange(50, 90), 5000 + i) for i in range(12)] + ["of " * 70, "it is " * 60]
+    for k in range(160):
+        parts = [prose(rng.randrange(3, 80), 6000 + k)]
+        for _ in range(rng.randrange(3)):
+            w = rng.choice(passages).split()
+            # whole, or a bit of any length
+            i, j = (0, len(w)) if rng.random() < 0.5 else sorted(rng.sample(range(len(w) + 1), 2))
+            parts += [" ".join(w[i:j]), prose(rng.randrange(3, 40), 9000 + k)]
+        texts[k] = " ".join(parts)
+    rows = documents(spark, texts)
+    got = chaining.fuzzy_passages(rows.unionByName(rows.where("doc_id < 20"))).collect()
+    touched = {r["doc_id"] for r in got} | {r["other_doc_id"] for r in got}
+    assert touched >= shared_windows(texts, 50) and touched <= shared_windows(texts, 15)
+    for r in got:
+        a, b = texts[r["doc_id"]].lower().split()[r["start_word"] : r["end_word"]], texts[r["other_doc_id"]].lower().split()[r["other_start_word"] : r["other_end_word"]]
+        assert min(len(a), len(b)) >= chaining.MIN_WORDS and r["matched_words"] <= chaining.common_words(a, b)
+        assert r["identity"] == 2 * r["matched_words"] / (len(a) + len(b)) >= chaining.MIN_IDENTITY
+
+
+def test_long_copies_are_found_from_end_to_end_wherever_their_seeds_lead(spark):
+    w = prose(5000, 77).split()
+    texts = {i: " ".join(w[i * 300 : i * 300 + 300]) for i in range(16)} | {50: " ".join(w), 51: prose(30, 5) + " " + " ".join(w)}
+    got = chaining.fuzzy_passages(documents(spark, texts)).collect()
+    assert {r["other_doc_id"] for r in got if r["doc_id"] == 51} >= set(range(16))
+    assert any((r["doc_id"], r["other_doc_id"]) == (51, 50) and (r["start_word"], r["end_word"]) == (30, 5030) for r in got)
+
+
+@pytest.mark.parametrize("share, least", [(0.05, 0.98), (0.1, 0.95), (0.2, 0.7)])
+def test_recall_of_edited_passages(spark, share, least):
+    n, texts = 150, {}
+    for i in range(n):
+        passage = prose(70, 20000 + i)
+        texts[i], texts[1000 + i] = f"{prose(40, i)} {passage} {prose(40, i + 400)}", f"{prose(40, i + 800)} {edited(passage, round(70 * share), i)} {prose(40, i + 1200)}"
+    got = {(r["doc_id"], r["other_doc_id"]) for r in chaining.fuzzy_passages(documents(spark, texts)).collect()}
+    right = {(1000 + i, i) for i in range(n)}
+    print("recall", share, len(got & right) / n)
+    assert len(got & right) >= least * n and got <= right
 
 
 @pytest.mark.parametrize("seed", range(30))
 def test_chain_matches_quadratic_scoring(seed):
     rng = np.random.default_rng(seed)
     n = int(rng.integers(2, 12))
-    rows = np.stack([np.sort(rng.choice(400, n, replace=False)), rng.choice(400, n, replace=False), np.full(n, 6)], axis=1)
+    # anchors that don't overlap, for which the chains' scores are exact
+    rows = np.stack([np.sort(rng.choice(60, n, replace=False)) * 7, rng.choice(60, n, replace=False) * 7, np.full(n, 6)], axis=1)
+    worth = lambda a, b: 6 - 0.15 * sum(max(0, b[i] - a[i] - 6) for i in (0, 1))
     best = [6.0] * n
     for j in range(n):
-        for i in range(n):
-            if rows[i, 0] < rows[j, 0] and rows[i, 1] < rows[j, 1]:
-                over = max(0, rows[i, 0] + 6 - rows[j, 0], rows[i, 1] + 6 - rows[j, 1])
-                skip = max(0, rows[j, 0] - rows[i, 0] - 6) + max(0, rows[j, 1] - rows[i, 1] - 6)
-                if not over:  # overlapping anchors only approximate their worth
-                    best[j] = max(best[j], best[i] + 6 - 0.15 * skip)
+        best[j] = max([6.0, *(best[i] + worth(rows[i], rows[j]) for i in range(j) if rows[i, 0] < rows[j, 0] and rows[i, 1] < rows[j, 1])])
     first = chaining.chain(rows.copy(), 0.15)[0]
-    score = 6.0
-    for a, b in zip(first, first[1:]):
-        assert a[0] < b[0] and a[1] < b[1]
-        over = max(0, a[0] + 6 - b[0], a[1] + 6 - b[1])
-        score += 6 - over - 0.15 * (max(0, b[0] - a[0] - 6) + max(0, b[1] - a[1] - 6))
-    assert score >= max(best) - 6.01 and sorted(x for c in chaining.chain(rows.copy()) for x in c[:, 0]) == sorted(rows[:, 0])
+    assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(first, first[1:]))
+    assert abs(6 + sum(worth(a, b) for a, b in zip(first, first[1:])) - max(best)) < 1e-9
+    assert sorted(x for c in chaining.chain(rows.copy()) for x in c[:, 0]) == sorted(rows[:, 0])
     assert chaining.common_words([1, 2, 3, 4], [2, 9, 4]) == 2
+
+
+def test_words_of_like_form_have_hashes_of_their_own(spark):
+    a = "a"
+    for _ in range(10):
+        a += a.translate({97: 98, 98: 97})
+    b = a.translate({97: 98, 98: 97})
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(documents(spark, {1: a, 2: b, 3: a})).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
