@@ -30,15 +30,18 @@ def components(links: DataFrame) -> DataFrame:
     while before[0]:
         # large star: every neighbour above u gets u's smallest neighbour (or u)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        # the minima are written first, so that both sides of the join are dealt anew and a hub's links are split
+        least = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         large = saved(large)
+        dropped(least)
         # small star: u and its smaller neighbours get the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = saved(large.groupBy("a").agg(F.min("b").alias("m")))
+        moved = large.join(least.hint("merge"), "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after_edges = saved(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         dropped(edges)
         dropped(large)
+        dropped(least)
         edges, now = after_edges, _mark(after_edges)
         if now == before:
             break

@@ -2,11 +2,11 @@
 
 1. Every whole text becomes its set of 5-word shingles and a signature of
    `TREES` x `LEVELS` minimum hashes. Equal sets are one class from here on.
-2. Each tree is an order of the classes by `LEVELS` of the hashes. Neighbours in
-   that order with a common prefix are candidates. The depth is adapted to the
-   region: it is the run of rows that share `SHALLOW` values, or, where more than
-   `CROWDED` rows do, `DEEP` values. Regions over `BLOCK` rows are cut into blocks,
-   and each two blocks meet in a task of their own, so nothing is left out.
+2. Each tree is an order of the classes by their signatures, read from a place of its own on and round to its start.
+   Neighbours in that order with a common prefix are candidates. The depth is adapted to the
+   region: the shortest of `DEPTHS` prefixes that at most `REGION` rows share. A region is sorted and
+   compared whole, or, over `BLOCK` rows, in blocks of which each two meet in a task of their own, so nothing
+   is left out. Rows that share the whole signature and are still too many are tied to the smallest of them.
 3. In a region, neighbours whose whole signatures agree in about `LOOSE` of the
    places are joined; only a spanning forest leaves the task. Its connected
    components are families, far looser than the links asked for.
@@ -14,8 +14,9 @@
    links with 100 * intersection >= 75 * union are kept. Components of those links are the result.
 
 A pair at similarity 0.75 shares two values in one of 24 trees but for odds of
-0.4375 ** 24 (3e-9); four of them, in crowded regions, but for 1e-4, and there each
-document has many partners. `LOOSE` is over 4 standard errors below 0.75.
+0.4375 ** 24 (3e-9). `LOOSE` is 4.8 standard errors below 0.75: a pair at 0.75 misses it with odds of about 3e-6. In regions over `REGION`
+rows the odds for four values are 1e-4, for eight 0.08; there each document has many thousand neighbours, and
+it takes one link of its own, or two that lead round, to be placed.
 
 Defined cases: ASCII blanks separate words and A-Z are lower-cased; a text of
 fewer than five words is one shingle; one without words (null, empty, blank) has
@@ -37,8 +38,9 @@ from .components import components
 from .textbatch import SHINGLE_WORDS, key_runs, mix64, pieces, shingle_sets, utf8, words
 
 TREES, LEVELS = 24, 5
-SHALLOW, DEEP = 2, 4
-CROWDED, BLOCK = 4096, 1024
+#: Values of a common prefix; the first is that of two 32-bit hashes, the others go on in their lowest bytes.
+DEPTHS = (2, 4, 8, 16, 32, 64, TREES * LEVELS)
+REGION, BLOCK = 16384, 1024
 LOOSE = 0.56
 #: Documents of a family that one task compares at once are two blocks of this.
 FAMILY_BLOCK = 256
@@ -80,12 +82,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = signatures(sets, at)
             tree = sig.reshape(n, TREES, LEVELS).astype(np.uint64)
             shallow = (tree[:, :, 0] << np.uint64(32)) | tree[:, :, 1]
-            deep = mix64(shallow ^ mix64((tree[:, :, 2] << np.uint64(32)) | tree[:, :, 3]))
             lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1).view(np.int64)), TREES).cast(pa.list_(pa.int64()))
             lane = pa.FixedSizeBinaryArray.from_buffers(pa.binary(TREES * LEVELS), n, [None, pa.py_buffer(np.ascontiguousarray(sig & 0xFF).astype(np.uint8))]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(lo, n), pa.array(size), pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)), lane, lists(shallow), lists(deep)],
-                names=["doc_id", "n_shingles", "k1", "k2", "lanes", "shallow", "deep"],
+                [batch.column("doc_id").slice(lo, n), pa.array(size), pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)), lane, lists(shallow)],
+                names=["doc_id", "n_shingles", "k1", "k2", "lanes", "shallow"],
             )
 
 
@@ -201,35 +202,46 @@ def _in_cells(rows: DataFrame, group: str, size: str, block: int) -> DataFrame:
     return rows.withColumn("cell", F.xxhash64(group, F.least("__mine", "__other"), F.greatest("__mine", "__other"))).drop("__mine", "__other")
 
 
-def _regions(classes: DataFrame) -> DataFrame:
-    """(doc_id, cell) of every row that shares a prefix of the adapted depth with another."""
-    keys = classes.select("doc_id", F.posexplode(F.arrays_zip("shallow", "deep")).alias("tree", "k")).select("doc_id", "tree", "k.shallow", "k.deep")
-    several = keys.groupBy("tree", "shallow").agg(F.count("*").alias("n")).where("n > 1")
-    rows = keys.join(several, ["tree", "shallow"])
-    plain = rows.where(F.col("n") <= CROWDED).select("doc_id", F.xxhash64("tree", "shallow").alias("region"), "n")
-    crowded = rows.where(F.col("n") > CROWDED).drop("n")
-    deeper = crowded.groupBy("tree", "deep").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = crowded.join(deeper, ["tree", "deep"]).select("doc_id", F.xxhash64("tree", "deep", F.lit(1)).alias("region"), "n")
-    return _in_cells(plain.unionByName(crowded), "region", "n", BLOCK).select("doc_id", "cell")
+def _regions(classes: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, cell) of every row that shares a prefix of the region's depth with another, and links of rows with equal signatures."""
+    rows = classes.select("doc_id", "lanes", F.posexplode("shallow").alias("tree", "first")).select("doc_id", "tree", F.xxhash64("tree", "first").alias("region"), "lanes")
+    cells, links = None, classes.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
+    for i, depth in enumerate(DEPTHS):
+        if i:
+            round_trip = F.expr("concat(lanes, lanes)")
+            rows = rows.withColumn("region", F.xxhash64("region", F.substring(round_trip, F.col("tree") * LEVELS + DEPTHS[i - 1] + 1, F.lit(depth - DEPTHS[i - 1]))))
+        sizes = saved(rows.groupBy("region").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1"))
+        settled = rows.select("doc_id", "region").join(sizes.where(F.col("n") <= REGION).select("region", "n").hint("merge"), "region")
+        settled = _in_cells(settled, "region", "n", BLOCK).select("doc_id", "cell")
+        cells = settled if cells is None else cells.unionByName(settled)
+        crowded = sizes.where(F.col("n") > REGION)
+        if not crowded.limit(1).count():
+            break
+        rows = saved(rows.join(crowded.select("region", "least").hint("merge"), "region"))
+        if depth == DEPTHS[-1]:
+            links = rows.select(F.col("doc_id").alias("a"), F.col("least").alias("b")).where("a <> b")
+        rows = rows.drop("least")
+    return cells, links
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of `docs` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = saved(docs.mapInArrow(_sign, f"doc_id {kind}, n_shingles long, k1 long, k2 long, lanes binary, shallow array<long>, deep array<long>"))
+    signed = saved(docs.mapInArrow(_sign, f"doc_id {kind}, n_shingles long, k1 long, k2 long, lanes binary, shallow array<long>"))
     same = ["n_shingles", "k1", "k2"]
     # written first, so that both sides of the join are dealt anew and a very large group of copies is split
     heads = saved(signed.where("n_shingles > 0").groupBy(same).agg(F.min("doc_id").alias("head")))
     members = saved(signed.select("doc_id", *same).join(heads.hint("merge"), same, "left").select("doc_id", "n_shingles", F.coalesce("head", "doc_id").alias("head")))
     chosen = members.where("doc_id = head and n_shingles > 0").select("doc_id").distinct()
-    classes = saved(signed.select("doc_id", "lanes", "shallow", "deep").join(chosen, "doc_id"))
+    classes = saved(signed.select("doc_id", "lanes", "shallow").join(chosen, "doc_id"))
     dropped(signed)
     dropped(heads)
 
-    met = _regions(classes).join(classes.select("doc_id", "lanes"), "doc_id")
-    loose = met.repartition("cell").sortWithinPartitions("cell").mapInArrow(_neighbours, f"a {kind}, b {kind}")
-    family = saved(components(loose))
+    cells, alike = _regions(classes, kind)
+    met = cells.join(classes.select("doc_id", "lanes"), "doc_id")
+    loose = met.repartition("cell").sortWithinPartitions("cell", "lanes").mapInArrow(_neighbours, f"a {kind}, b {kind}")
+    family = saved(components(loose.unionByName(alike)))
     dropped(classes)
     sizes = family.groupBy("root").agg(F.count("*").alias("size"))
     family_rows = saved(family.join(sizes, "root").select(F.col("node").alias("doc_id"), "root", "size"))

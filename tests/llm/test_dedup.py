@@ -58,7 +58,7 @@ def brute_components(texts):
 @pytest.mark.parametrize("small", [False, True])
 def test_near_groups_match_brute_force(spark, family_texts, monkeypatch, small):
     if small:  # every region and family is cut to blocks
-        for name, value in (("BLOCK", 8), ("FAMILY_BLOCK", 3), ("BROADCAST_ROWS", 0)):
+        for name, value in (("BLOCK", 8), ("REGION", 24), ("FAMILY_BLOCK", 3), ("BROADCAST_ROWS", 0)):
             monkeypatch.setattr(near_dedup, name, value)
     got = near_dedup.near_groups(documents(spark, family_texts, component_id="x", kept="y")).collect()
     expected = brute_components(family_texts)
@@ -66,6 +66,18 @@ def test_near_groups_match_brute_force(spark, family_texts, monkeypatch, small):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_crowded_regions_get_deeper(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION", 12)
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    base = prose(200, 60)
+    texts = {i: edited(base, 1 + i % 4, i) for i in range(90)} | {200 + i: edited(prose(200, 61), 6, i) for i in range(40)} | {300 + i: prose(60, i) for i in range(20)}
+    got = near_dedup.near_groups(documents(spark, texts)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(texts)
+    monkeypatch.setattr(near_dedup, "DEPTHS", (2,))
+    got = near_dedup.near_groups(documents(spark, texts)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(texts)
+
+
 def test_near_groups_of_nothing_and_of_repeated_rows(spark):
     assert near_dedup.near_groups(spark.createDataFrame([], SCHEMA)).count() == 0
     one = documents(spark, {1: prose(20, 1)})
