@@ -1,7 +1,7 @@
 """Mixing documents to target domain weights by soft membership; DataFrame functions only.
 
-1. A naive-Bayes classifier over hashed words is fitted on the labelled table (a
-   bounded sample of it) and gives every document a posterior over the domains. A word speaks only for
+1. A naive-Bayes classifier over hashed words, their beginnings and the text's shape is fitted on the labelled table (a
+   bounded sample of it) and gives every document a posterior over the domains. A feature speaks only for
    the domain where it is significantly more frequent than in each other one (log-odds of `STRONG` or more, a root likelihood ratio
    of `SIGNIFICANT`), once for a document, so that long texts don't add up noise.
 2. Each document gets a nonnegative rate so that the expected tokens of each
@@ -12,6 +12,7 @@
    expression over the posteriors. The gradient is scaled by the inverse Gram matrix of the posteriors of all
    documents with a rate over 0, so that few steps are needed, and a step that doesn't lower the gaps is halved.
    Equal rows count once in the sums.
+   What still lacks after `MAX_STEPS` steps is in the column `gap` and gives a warning.
 3. `copies` rounds the rate at random by a hash of doc_id: floor(rate + u).
 
 Starting from 1, the rates change as little as the targets allow (in the metric of tokens).
@@ -19,12 +20,13 @@ Starting from 1, the rates change as little as the targets allow (in the metric
 Defined cases: a null or blank text has no tokens, the prior as posterior and is
 kept once; labels with nulls are passed over; without labels all rates are the
 budget's; a domain that has no tokens can't be met and is left out of the targets
-(its weight is spread over the others); repeated rows get the same rate; an empty table gives an empty result.
+(its weight is spread over the others); repeated rows get the same rate; more than `MAX_DOMAINS` domains are a ValueError; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +34,12 @@ from pyspark.sql import functions as F
 from .common import sample_below, saved
 
 MAX_TRAIN = 9000
-#: Words that the classifier keeps at most, the most significant ones; bounds what is collected and broadcast.
+#: Size of the classifier's table: the features it keeps, the most significant ones; bounds what is collected and broadcast.
 MAX_WORDS = 20_000
-SIGNIFICANT, STRONG = 5.0, 1.0
+#: There are many words and beginnings, some of which are rare by chance, and few shapes.
+SIGNIFICANT, SIGNIFICANT_SHAPE, STRONG = 5.0, 3.0, 1.0
+#: The features of a shape are at this number and above, those of words below.
+SHAPES = 1 << 40
 MAX_DOMAINS = 16
 MAX_STEPS = 20
 CLOSE = 1e-4
@@ -49,9 +54,35 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def _bucket(word: Column) -> Column:
-    """The 32-bit hash that stands for a word."""
-    return F.hash(word)
+#: Letters at a word's start that count as features of their own.
+PREFIXES = (5,)
+#: Words from which on a text has a shape.
+SHAPE_WORDS = 12
+MARKS = "!|#*~^=_<>{}[]@$%&+\\"
+
+
+def features(words: Column, text: Column) -> Column:
+    """What stands for a text's distinct words and their beginnings (32-bit hashes), and for its shape.
+
+    The shape is told in steps: distinct words, words like the one before, letters of a word, capitals, digits and marks by all
+    characters, and lines. So junk is told by its form, whatever its words are.
+    """
+    once = F.array_distinct(words)
+    begin = [F.array_distinct(F.transform(F.filter(once, lambda w: F.length(w) > k), lambda w: F.hash(F.substring(w, 1, k), F.lit(k)))) for k in PREFIXES]  # noqa: B023
+    n, size = F.size(words), F.greatest(F.length(text), F.lit(1))
+    without = lambda chars: (size - F.length(F.translate(text, chars, ""))) / size
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    steps = [
+        F.floor(F.lit(12) * F.size(once) / F.greatest(n, F.lit(1))) * 32 + F.floor(F.log2(n + F.lit(1)) / 2),
+        F.ceil(F.lit(6) * F.size(F.filter(F.zip_with(words, F.slice(words, F.lit(2), F.greatest(n, F.lit(1))), lambda a, b: a == b), lambda same: same)) / F.greatest(n, F.lit(1))),
+        F.floor(F.length(F.array_join(words, "")) / F.greatest(n, F.lit(1)) / 1.5),
+        F.floor(without(letters) * 12),
+        F.floor(without("0123456789") * 20),
+        F.floor(without(MARKS) * 25),
+        F.floor(without("\n") * 100),
+    ]
+    shape = F.array(*[F.lit(SHAPES + (i << 20)) + x.cast("long") for i, x in enumerate(steps)])
+    return F.concat(F.transform(once, lambda w: F.hash(w).cast("long")), *[b.cast("array<long>") for b in begin], F.when(n >= SHAPE_WORDS, shape).otherwise(F.array().cast("array<long>")))
 
 
 #: Domains, log-priors, by word the log-odds of the one domain that it speaks for, and by domain what it says when none of its words is there.
@@ -75,11 +106,12 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
         taken = taken | ((F.col("domain") == d) & sample_below(F.col("doc_id"), min(1.0, max_train / len(domains) / sizes[d])))
     # at most about max_train rows
     some = F.broadcast(labels.where(taken))
-    rows = docs.select("doc_id", "text").join(some, "doc_id").select("domain", F.transform(word_list(F.col("text")), _bucket).alias("all"))
+    rows = docs.select("doc_id", "text").join(some, "doc_id").select("domain", "text", word_list(F.col("text")).alias("words"))
+    rows = rows.select("domain", features(F.col("words"), F.coalesce("text", F.lit(""))).alias("buckets"), F.transform("words", lambda w: F.hash(w)).alias("all"))
     # copies of one text would make its words look typical of its domain: one of those with equal least word triples stays
     triples = F.when(F.size("all") >= 3, F.transform(F.sequence(F.lit(0), F.size("all") - 3), lambda i: F.struct(F.get("all", i), F.get("all", i + 1), F.get("all", i + 2))))
     least = lambda seed: F.array_min(F.transform("triples", lambda t: F.xxhash64(t, F.lit(seed))))
-    rows = rows.withColumn("triples", triples).select("domain", F.array_distinct("all").alias("buckets"), *[F.coalesce(least(i), F.hash("all")).alias(f"m{i}") for i in range(3)])
+    rows = rows.withColumn("triples", triples).select("domain", "buckets", *[F.coalesce(least(i), F.hash("all")).alias(f"m{i}") for i in range(3)])
     for i in range(3):
         rows = rows.dropDuplicates(["domain", f"m{i}"])
     rows = saved(rows.select("domain", "buckets"))
@@ -99,20 +131,23 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
         term = lambda got, size: F.when(got > 0, got * F.log(got / (share * size))).otherwise(0.0)  # noqa: B023, E731
         value = F.log(rate[i] / rival["rate"])
         size = F.sqrt(F.greatest(F.lit(0.0), 2 * (term(mine, all_mine) + term(rival["n"], rival["all"]))))
-        counts = (size >= SIGNIFICANT) & (value >= STRONG)
+        counts = (size >= F.when(F.col("b") >= SHAPES, SIGNIFICANT_SHAPE).otherwise(SIGNIFICANT)) & (value >= STRONG)
         values += [F.when(counts, value).otherwise(0.0).alias(f"s{i}"), F.when(counts, F.log((1.01 - rate[i]) / (1.01 - rival["rate"]))).otherwise(0.0).alias(f"a{i}")]
         sizes_of.append(F.when(counts, size).otherwise(0.0))
     most = F.greatest(*sizes_of) if len(domains) > 1 else F.lit(0.0)
     kept = held.select("b", most.alias("size"), *values).where("size > 0").orderBy(F.col("size").desc(), "b").limit(MAX_WORDS)
     rows = kept.collect()
-    odds = {r["b"]: [r[f"s{i}"] for i in k] for r in rows}
-    absent = [max(LEAST_ABSENT, sum(r[f"a{i}"] for r in rows)) for i in k]
+    # what all words' absence says is bounded, each one's part in proportion; a word that is there takes its part back
+    whole = [sum(r[f"a{i}"] for r in rows) for i in k]
+    absent = [max(LEAST_ABSENT, x) for x in whole]
+    part = [x / y if y else 0.0 for x, y in zip(absent, whole, strict=True)]
+    odds = {r["b"]: [r[f"s{i}"] - part[i] * r[f"a{i}"] for i in k] for r in rows}
     return domains, [math.log(sizes[d] / total) for d in domains], odds, absent
 
 
 def _key() -> Column:
-    """Stands for a row; equal rows share it and get the same rate."""
-    return F.xxhash64(F.col("doc_id").cast("string"), "text")
+    """Stands for a row (128 bits); equal rows share it and get the same rate."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("\n"), F.coalesce("text", F.lit("")))))
 
 
 def posteriors(docs: DataFrame, model: Model) -> DataFrame:
@@ -123,9 +158,9 @@ def posteriors(docs: DataFrame, model: Model) -> DataFrame:
     """
     domains, prior, odds, absent = model
     k = range(len(domains))
-    table = docs.sparkSession.createDataFrame([(b, *row) for b, row in odds.items()], "b int, " + ", ".join(f"s{i} double" for i in k))
-    rows = docs.select(_key().alias("key"), word_list(F.col("text")).alias("words"))  # before the words are dealt out, else once for each
-    words = rows.select("key", F.size("words").cast("long").alias("tokens"), F.posexplode(F.array_distinct("words")).alias("at", "w")).select("key", "tokens", "at", _bucket(F.col("w")).alias("b"))
+    table = docs.sparkSession.createDataFrame([(b, *row) for b, row in odds.items()], "b long, " + ", ".join(f"s{i} double" for i in k))
+    rows = docs.select(_key().alias("key"), "text", word_list(F.col("text")).alias("words")).where(F.size("words") > 0)  # before the words are dealt out, else once for each
+    words = rows.select("key", F.size("words").cast("long").alias("tokens"), F.posexplode(features(F.col("words"), F.col("text"))).alias("at", "b"))
     hits = words.join(F.broadcast(table), "b", "left").where("at = 0 or s0 is not null")
     # equal rows add up alike, which their number takes back
     sums = hits.groupBy("key", "tokens").agg(F.count_if(F.col("at") == 0).alias("rows"), *[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)).alias(f"s{i}") for i in k])
@@ -211,7 +246,7 @@ def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], b
 
 
 def mix(docs: DataFrame, labels: DataFrame, source: DataFrame, weights: dict[str, float], budget: float = 1.0, keep: str | None = None) -> DataFrame:
-    """`docs` with tokens, p, rate and copies.
+    """`docs` with tokens, p, rate, copies and gap (what each domain's expected tokens are off their target by, over all tokens).
 
     The classifier is fitted on `labels` (doc_id, domain) and the texts of
     `source`; `weights` are target shares by domain, and `budget` the expected tokens over those there are.
@@ -219,10 +254,12 @@ def mix(docs: DataFrame, labels: DataFrame, source: DataFrame, weights: dict[str
     """
     model = fit_domains(source, labels)
     weighed = saved(posteriors(docs, model))
-    steps, _ = fit_rates(weighed, model[0], weights, budget, keep)
+    steps, gap = fit_rates(weighed, model[0], weights, budget, keep)
+    if max(map(abs, gap), default=0.0) >= CLOSE:
+        warnings.warn(f"targets are missed by {dict(zip(model[0], [round(x, 4) for x in gap], strict=True))} of all tokens", stacklevel=2)
     few = weighed.count() <= BROADCAST_ROWS
-    keep = [c for c in docs.columns if c not in ("tokens", "p", "rate", "copies")]
-    rows = docs.select(*keep, _key().alias("__key")).join((F.broadcast(weighed) if few else weighed.hint("merge")).withColumnRenamed("key", "__key"), "__key", "left")
+    columns = [c for c in docs.columns if c not in ("tokens", "p", "rate", "copies", "gap")]
+    rows = docs.select(*columns, _key().alias("__key")).join((F.broadcast(weighed) if few else weighed.hint("merge")).withColumnRenamed("key", "__key"), "__key", "left")
     rows = rows.withColumn("p", F.coalesce("p", F.array(*[F.lit(math.exp(x)) for x in model[1]]))).withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     # a document without tokens weighs nothing in any sum and is kept once
     rate = F.when(F.col("tokens") == 0, F.lit(1.0)).otherwise(_rate(steps))
@@ -232,7 +269,7 @@ def mix(docs: DataFrame, labels: DataFrame, source: DataFrame, weights: dict[str
         rate = F.when(own, F.greatest(F.lit(1.0), rate)).otherwise(F.least(F.lit(1.0), rate))
     uniform = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     rows = rows.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + F.coalesce(uniform, F.lit(0.5))).cast("int"))
-    return rows.select(*keep, "tokens", "p", "rate", "copies")
+    return rows.select(*columns, "tokens", "p", "rate", "copies", F.array(*[F.lit(float(x)) for x in gap]).alias("gap"))
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

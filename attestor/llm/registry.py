@@ -38,7 +38,7 @@ MIX_WEIGHTS = {"clean": 0.95, "toxic": 0.03, "low": 0.02}
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = mixing.mix(docs, mixing.label_domains(table(spark, sf_dir, "labels")), docs, MIX_WEIGHTS)
-    return out.select("doc_id", "tokens", "p", "rate", "copies")
+    return out.select("doc_id", "tokens", "p", "rate", "copies", "gap")
 
 
 def op6_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

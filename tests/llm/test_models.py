@@ -127,6 +127,43 @@ def test_mixing_bears_odd_input(spark):
     assert mixing.mix(empty, labels, empty, {"clean": 1.0}).count() == 0
 
 
+def test_mixing_knows_held_out_documents_and_meets_shares_of_true_labels(spark):
+    rng, texts, truth = np.random.default_rng(4), {}, {}
+    for i in range(900):
+        kind = ("clean", "clean", "clean", "low", "toxic")[i % 5]
+        text = prose(int(rng.integers(30, 200)), i)
+        if kind == "low":
+            w = text.split()
+            text = (" ".join(w[:9]).upper() + "!! " + text.upper(), " | ".join(w), " ".join(f"{w[0]} {w[0]} {w[0]}" for _ in w))[i // 15 % 3]
+        if kind == "toxic":
+            text += " " + " ".join(rng.choice(["vile", "nasty", "foulest", "rotten"], 3, replace=False))
+        texts[i], truth[i] = text, kind
+    docs = documents(spark, texts).select("doc_id", "text")
+    known = spark.createDataFrame([(i, k) for i, k in truth.items() if i % 3], "doc_id long, domain string")
+    model = mixing.fit_domains(docs, known)
+    out = mixing.mix(docs.unionByName(docs.where("doc_id < 30")), known, docs, {"clean": 0.9, "low": 0.06, "toxic": 0.04}).collect()
+    assert len(out) == 930 and all(abs(x) < 2e-3 for r in out for x in r["gap"])
+    one = {r["doc_id"]: r for r in out}
+    right = [model[0][int(np.argmax(one[i]["p"]))] == k for i, k in truth.items() if i % 3 == 0]
+    assert np.mean(right) > 0.97
+    assert len({(r["doc_id"], r["rate"]) for r in out}) == 900  # repeated rows have one rate
+    mass = {d: sum(r["tokens"] * r["rate"] for r in one.values() if truth[r["doc_id"]] == d) for d in model[0]}
+    for d, share in {"clean": 0.9, "low": 0.06, "toxic": 0.04}.items():
+        assert abs(mass[d] / sum(mass.values()) - share) < 0.015
+
+
+def test_targets_out_of_reach_are_told(spark):
+    docs = documents(spark, {i: prose(30, i) for i in range(40)}).select("doc_id", "text")
+    labels = spark.createDataFrame([(i, "clean" if i % 2 else "low") for i in range(40)], "doc_id long, domain string")
+    with pytest.warns(UserWarning, match="targets are missed"):
+        out = mixing.mix(docs, labels, docs, {"clean": 0.99, "low": 0.01}).collect()
+    assert max(abs(x) for x in out[0]["gap"]) > 0.1
+    with pytest.raises(ValueError, match="domains"):
+        mixing.fit_domains(docs, spark.createDataFrame([(i, str(i)) for i in range(20)], "doc_id long, domain string"))
+    # without labels there is one domain
+    assert {r["rate"] for r in mixing.mix(docs, labels.limit(0), docs, {"clean": 1.0}).collect()} == {1.0}
+
+
 # --- top-k ------------------------------------------------------------------------------------------
 
 
