@@ -7,13 +7,16 @@ corpus, in the same document or another; overlaps count. All repeats are judged
    of the `ANCHOR`-byte strings inside. Equal strings have equal anchors, so the strings
    of one anchor hash can be judged apart from all others. Consecutive starts with one anchor make a
    context (the text from the first start to the end of the last string).
-2. Equal contexts are counted; contexts that occur more than once are covered. An anchor hash
-   with one occurrence can hold no repeat and goes no further, nor does its text.
+2. Equal contexts (by a 128-bit digest of their bytes) are counted and collapsed. An anchor hash
+   with one occurrence can hold no repeat and goes no further, nor does its text; the only context of an anchor that
+   occurs more than once is one repeat as a whole.
 3. *Suffix arrays.* Anchor hashes with several different contexts are packed to shards of
    about `SHARD_BYTES`. Each shard's suffix array is made by induced sorting, and common prefixes are computed
    in permuted (text) order; a start whose neighbour shares `LENGTH` bytes is a repeat.
-4. An anchor hash with more than `CROWDED` different contexts would outgrow a shard. Its
-   starts are counted by the hash of the whole string instead, one row each, spread over all tasks.
+4. An anchor hash with more than `CROWDED` different contexts would outgrow a shard. Its contexts are cut
+   in two: starts with more than half of the room on the anchor's left get an anchor that is longer on
+   that side, the others one that is longer on the right. Equal strings still have equal anchors. The parts go
+   through steps 2 to 4 again, until the anchor is the whole string.
 5. Repeats are joined back to all occurrences and united for each document.
 
 Defined cases: a null text counts as empty; texts under `LENGTH` bytes lose nothing; a text of
@@ -41,8 +44,8 @@ SHARD_BYTES = 3 << 19
 #: Bytes whose anchors are sought at once.
 ANCHOR_BYTES = 1 << 20
 CROWDED = 2048
-#: Rows that may be broadcast (some 50 MB); more meet in a merge join.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that may be broadcast to the texts; more meet them in a merge join.
+BROADCAST_BYTES = 64 << 20
 
 
 def _least(key: np.ndarray, width: int) -> np.ndarray:
@@ -57,7 +60,7 @@ def _least(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """(text, first start in it, number of starts, anchor hash, context hash) of some texts' contexts."""
+    """(text, first start in it, number of starts, anchor hash, the anchor's place in the context) of some texts' contexts."""
     n = len(data)
     none = np.empty(0, np.int64)
     if n < length:
@@ -74,7 +77,12 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor
     first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (np.diff(start) > 1) | (text[1:] != text[:-1])))
     count = np.diff(np.append(first, len(start)))
     lo = start[first]
-    return text[first], lo - offsets[text[first]], count, key[owner[first]].view(np.int64), prefix.of(lo, lo + count - 1 + length).view(np.int64)
+    return text[first], lo - offsets[text[first]], count, key[owner[first]].view(np.int64), owner[first] - lo
+
+
+def digest(blob: bytes) -> bytes:
+    """Stands for a context in comparisons; collisions are out of the question."""
+    return hashlib.blake2b(blob, digest_size=16).digest()
 
 
 def repeats_in_shard(blobs: list[bytes], several: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
@@ -106,15 +114,20 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in trimmed(batches):
         data, offsets = utf8(batch.column("text"))
         for lo, hi in pieces(offsets, ANCHOR_BYTES):
-            text, start, count, h, c = contexts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            yield pa.RecordBatch.from_arrays([batch.column("rid").take(pa.array(lo + text)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(h), pa.array(c)], names=["rid", "start", "starts", "h", "c"])
+            part, base = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            text, start, count, h, anchor = contexts(part, base)
+            first = base[text] + start
+            raw = part.tobytes()
+            c = [digest(raw[a:b]) for a, b in zip(first.tolist(), (first + count - 1 + LENGTH).tolist(), strict=True)]
+            rows = pa.array(lo + text)
+            yield pa.RecordBatch.from_arrays([batch.column("rid").take(rows), batch.column("rid2").take(rows), *(pa.array(x.astype(np.int32)) for x in (start, count, anchor)), pa.array(h), pa.array(c, pa.binary())], names=["rid", "rid2", "start", "starts", "anchor", "h", "c"])
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def solve(parts: list[pa.Table]) -> pa.RecordBatch:
         rows = pa.concat_tables(parts).combine_chunks()
-        c = rows["c"].to_numpy()
-        keep = np.sort(np.unique(c, return_index=True)[1])  # equal rows of the input ask twice
+        c = np.array(rows["c"].to_pylist(), "S16")
+        keep = np.arange(len(c))[np.append(True, (c[1:] != c[:-1]) | (np.diff(rows["h"].to_numpy()) != 0))]  # equal rows of the input ask twice
         blobs = rows["context"].take(pa.array(keep)).to_pylist()
         found = repeats_in_shard(blobs, (rows["n"].to_numpy() > 1)[keep])
         ranges = [_ranges(m) for m in found]
@@ -149,18 +162,42 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo = offsets[:-1] + batch.column("start").to_numpy(zero_copy_only=False)
         hi = lo + batch.column("starts").to_numpy(zero_copy_only=False) - 1 + LENGTH
         blobs = [data[a:b].tobytes() for a, b in zip(lo, hi, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(x) for x in ("h", "c", "n")] + [pa.array(blobs, pa.binary())], names=["h", "c", "n", "context"])
-
-
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash of every string of a crowded anchor's contexts."""
-    for batch in batches:
-        for i, blob in enumerate(batch.column("context").to_pylist()):
-            data = np.frombuffer(blob, np.uint8)
-            at = np.arange(len(data) - LENGTH + 1)
-            s = Prefix(data).of(at, at + LENGTH).view(np.int64)
-            same = lambda x: pa.array(np.full(len(at), batch.column(x)[i].as_py()))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([same("h"), same("c"), same("n"), pa.array(at.astype(np.int32)), pa.array(s)], names=["h", "c", "n", "at", "s"])
+        yield pa.RecordBatch.from_arrays([batch.column(x) for x in ("h", "c", "n", "anchor")] + [pa.array(blobs, pa.binary())], names=["h", "c", "n", "anchor", "context"])
+
+
+def halves(starts: int, anchor: int, width: int) -> list[tuple[int, int, int, int, int]]:
+    """(first start, end start, new anchor, its width, 0 for the left side or 1) of a context's parts; `anchor` is the old one's place.
+
+    A string that starts at s has anchor - s bytes on the anchor's left and the rest of the room on its right.
+    """
+    room = LENGTH - width
+    left = (room + 1) // 2
+    cut = min(max(anchor - left + 1, 0), starts)  # starts before it have `left` bytes or more on the left
+    parts = [(0, cut, anchor - left, width + left, 0), (cut, starts, anchor, width + room - left + 1 if left else width, 1)]
+    return [(i, j, a - i, min(w, LENGTH), side) for i, j, a, w, side in parts if j > i]
+
+
+def _split(width: int):
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The parts of crowded contexts, each under its longer anchor; `at` is where its starts begin in the whole."""
+        for batch in batches:
+            rows, at, anchor, h, c, context = [], [], [], [], [], []
+            for i, (blob, place) in enumerate(zip(batch.column("context").to_pylist(), batch.column("anchor").to_pylist(), strict=True)):
+                for a, b, new, wide, side in halves(len(blob) - LENGTH + 1, place, width):
+                    part = blob[a : b - 1 + LENGTH]
+                    rows.append(i)
+                    at.append(a)
+                    anchor.append(new)
+                    h.append(int.from_bytes(digest(part[new : new + wide] + bytes([side]))[:8], "little", signed=True))
+                    c.append(digest(part))
+                    context.append(part)
+            whole = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(x).take(whole) for x in ("h", "c", "n")), pa.array(at, pa.int32()), pa.array(h, pa.int64()), pa.array(c, pa.binary()), pa.array(anchor, pa.int32()), pa.array(context, pa.binary())],
+                names=["whole_h", "whole_c", "n", "at", "h", "c", "anchor", "context"],
+            )
+
+    return split
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,37 +226,59 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), pa.array(cuts, pa.list_(pa.int64()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "cuts"])
 
 
-def _meet(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """Joins texts with a saved table: few rows are broadcast, so that texts stay where they are."""
-    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right.hint("merge"), on, how)
+def _meet(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Joins texts with a saved table; one of few bytes is broadcast, so that texts stay where they are."""
+    lists = [c for c, kind in right.dtypes if kind.startswith("array")]
+    size = right.agg(F.sum(F.lit(72) + sum((F.size(c) * 4 for c in lists), F.lit(0)))).first()[0] or 0
+    return left.join(F.broadcast(right) if size <= BROADCAST_BYTES else right.hint("merge"), ["rid", "rid2"], how)
+
+
+def _in_shards(contexts_: DataFrame) -> DataFrame:
+    return contexts_.repartition("h").sortWithinPartitions("h", "c").select("h", "c", "n", "context").mapInArrow(_shards, "h long, c binary, ranges array<int>")
+
+
+def _judge(contexts_: DataFrame, width: int) -> DataFrame:
+    """(h, c, ranges) of the repeats in different contexts (h, c, n, anchor, context), whose anchors have `width` bytes."""
+    sizes = contexts_.groupBy("h").agg(F.count("*").alias("different"))
+    crowds = saved(sizes.where(F.col("different") > CROWDED).select("h"))
+    few = not crowds.limit(1).count()
+    rows = contexts_ if few else contexts_.join(crowds.hint("merge"), "h", "left_anti")
+    out = _in_shards(rows)
+    if few:
+        return out
+    parts = saved(contexts_.join(crowds.hint("merge"), "h", "left_semi").mapInArrow(_split(width), "whole_h long, whole_c binary, n long, at int, h long, c binary, anchor int, context binary"))
+    met = parts.groupBy("h", "c").agg(F.sum("n").alias("n"), F.first("anchor").alias("anchor"), F.first("context").alias("context"))
+    met = saved(met)
+    kinds = met.groupBy("h").agg(F.count("*").alias("different"), F.sum("n").alias("all")).where("all > 1")
+    met = saved(met.join(kinds.select("h", "different"), "h"))
+    alone = met.where("different = 1").select("h", "c", F.array(F.lit(0), (F.length("context") - LENGTH + 1).cast("int")).alias("ranges"))
+    # the wider of the two new anchors is a byte longer where the room is even; the other one's strings have it too
+    inner = _judge(met.where("different > 1").drop("different"), min(LENGTH, width + (LENGTH - width + 1) // 2))
+    back = parts.select("whole_h", "whole_c", "at", "h", "c").join(saved(alone.unionByName(inner)).hint("merge"), ["h", "c"])
+    return out.unionByName(back.select(F.col("whole_h").alias("h"), F.col("whole_c").alias("c"), F.transform("ranges", lambda r: r + F.col("at")).alias("ranges")))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and cuts (start, end, ... in bytes) for every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("rid"))
-    anchored = rows.select("rid", "text").mapInArrow(_anchored, "rid long, start int, starts int, h long, c long")
-    same = saved(anchored.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("rid", "start")).alias("at"), F.first("starts").alias("starts")))
+    id_ = F.col("doc_id").cast("string")
+    rows = docs.select("doc_id", "text", F.xxhash64(id_, "text").alias("rid"), F.xxhash64("text", id_, F.lit(1)).alias("rid2"))
+    anchored = rows.select("rid", "rid2", "text").mapInArrow(_anchored, "rid long, rid2 long, start int, starts int, anchor int, h long, c binary")
+    same = saved(anchored.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("rid", "rid2", "start")).alias("at"), F.first("starts").alias("starts"), F.first("anchor").alias("anchor")))
     kept = same.groupBy("h").agg(F.count("*").alias("different"), F.sum("n").alias("all")).where("all > 1")
     found = saved(same.join(kept.select("h", "different"), "h"))
     dropped(same)
 
     alone = found.where("different = 1").select("h", "c", F.array(F.lit(0), "starts").alias("ranges"))
-    asked = saved(found.where("different > 1").select(F.col("at.rid").alias("rid"), F.col("at.start").alias("start"), "starts", "h", "c", "n", "different"))
-    text = _meet(rows.select("rid", "text"), asked, "rid")
-    cut = "h long, c long, n long, context binary"
-    cut_of = lambda condition: text.where(condition).select("text", "start", "starts", "h", "c", "n").mapInArrow(_cut, cut)
-    shards = cut_of(F.col("different") <= CROWDED).repartition("h").sortWithinPartitions("h", "c").mapInArrow(_shards, "h long, c long, ranges array<int>")
-    repeats = alone.unionByName(shards)
-    if asked.where(F.col("different") > CROWDED).limit(1).count():
-        strings = saved(cut_of(F.col("different") > CROWDED).dropDuplicates(["h", "c"]).mapInArrow(_strings, "h long, c long, n long, at int, s long"))
-        twice = saved(strings.groupBy("s").agg(F.sum("n").alias("all")).where("all > 1").select("s"))
-        hit = strings.join(twice, "s", "left_semi").groupBy("h", "c").agg(F.sort_array(F.collect_list("at")).alias("ats"))
-        repeats = repeats.unionByName(hit.select("h", "c", F.flatten(F.transform("ats", lambda a: F.array(a, a + 1))).alias("ranges")))
-    repeats = saved(repeats)
+    asked = saved(found.where("different > 1").select("at.rid", "at.rid2", "at.start", "starts", "anchor", "h", "c", "n"))
+    cut = _meet(rows, asked).select("text", "start", "starts", "anchor", "h", "c", "n").mapInArrow(_cut, "h long, c binary, n long, anchor int, context binary")
+    crowded = asked.groupBy("h").agg(F.count("*").alias("different")).where(F.col("different") > CROWDED).limit(1).count()
+    # equal rows of the input bring a context twice, which a shard sees
+    judged = _judge(saved(cut.dropDuplicates(["h", "c"])), ANCHOR) if crowded else _in_shards(cut)
+    repeats = saved(alone.unionByName(judged))
 
     where = anchored.join(repeats.hint("merge"), ["h", "c"])
-    spans = saved(where.groupBy("rid").agg(F.flatten(F.collect_list(F.transform("ranges", lambda r: r + F.col("start")))).alias("spans")))
+    spans = saved(where.groupBy("rid", "rid2").agg(F.flatten(F.collect_list(F.transform("ranges", lambda r: r + F.col("start")))).alias("spans")))
     dropped(repeats)
-    out = _meet(rows, spans, "rid", "left").select("doc_id", "text", "spans")
+    out = _meet(rows, spans, "left").select("doc_id", "text", "spans")
     return out.mapInArrow(_removed, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, cuts array<long>")

@@ -119,9 +119,25 @@ def brute_removed(texts, n=400):
     return sorted(out)
 
 
-@pytest.mark.parametrize("crowded", [substring_dedup.CROWDED, 1])
-def test_repeated_strings_match_brute_force(spark, monkeypatch, crowded):
+def test_halves_of_a_context_hold_each_start_once():
+    rng = random.Random(3)
+    for _ in range(500):
+        width = rng.randrange(200, 400)
+        starts = rng.randrange(1, 401 - width + 1)
+        place = rng.randrange(starts - 1, 400 - width + 1)  # every string holds the anchor
+        parts = substring_dedup.halves(starts, place, width)
+        assert [s for i, j, *_ in parts for s in range(i, j)] == list(range(starts))
+        for i, j, new, wide, _ in parts:
+            assert wide > width or width == 400
+            for s in range(i, j):
+                assert s <= i + new and i + new + wide <= s + 400
+
+
+@pytest.mark.parametrize("crowded, merge", [(substring_dedup.CROWDED, False), (1, False), (3, True)])
+def test_repeated_strings_match_brute_force(spark, monkeypatch, crowded, merge):
     monkeypatch.setattr(substring_dedup, "CROWDED", crowded)
+    if merge:
+        monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", 0)
     passage, texts = prose(120, 77), [(k, t) for k, t in ODD.items()]
     for i in range(6):
         texts.append((i, prose(30 + i, i) + " " + passage + " " + prose(40, 50 + i)))
