@@ -56,6 +56,19 @@ def test_clean_documents_stay_where_hardly_any_are_toxic(spark, tmp_path):
     assert all(copies.get(k, 0) <= 1 for k in range(600, 640))
 
 
+def test_no_document_is_lost_for_its_doc_id(spark, tmp_path):
+    item = prose(30, 777)
+    rows = [(1, prose(90, 1)), (1, prose(90, 2)), (1, prose(90, 1)), (None, prose(90, 3)), (None, prose(90, 4)), (None, prose(90, 3)), (None, None), (7, prose(60, 5) + " " + item), (7, prose(90, 6)), (None, prose(60, 8) + " " + item), (8, prose(90, 9))]
+    spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = corpus_pipeline._near_dedup(spark, docs, str(tmp_path))
+    texts = lambda df: sorted((r["doc_id"] or 0, r["text"] or "") for r in df.collect())
+    assert texts(kept) == sorted({(k or 0, t or "") for k, t in rows}) and kept.columns == docs.columns
+    clean = corpus_pipeline._decontaminate(spark, docs, str(tmp_path))
+    assert texts(clean) == sorted((k or 0, t or "") for k, t in rows if item not in (t or ""))
+
+
 def test_run_gives_the_last_stage_and_bears_no_documents(spark, tmp_path):
     _tables(spark, tmp_path)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 100
