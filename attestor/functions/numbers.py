@@ -6,6 +6,8 @@ out of range and gives null rather than a rounded value.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,23 +44,27 @@ def significant_figures(literal: Column) -> Column:
     return F.greatest(F.when(digits.contains("."), decimal).otherwise(integer), F.lit(1)).cast("int")
 
 
-def _word(token: str) -> str:
-    return r"(?<![a-z])" + "".join(f"\\{c}" if not c.isalnum() else c for c in token) + r"(?![a-z])"
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` worked out once for a row, however often `use` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Longest first, so that of the words in a text the first of this list counts.
+_BY_LENGTH = sorted(SCALES, key=lambda t: -len(t))
+ANY_SCALE = r"(?<![a-z])(?:" + "|".join(t.replace(".", r"\.") for t in _BY_LENGTH) + r")(?![a-z])"
 
 
 def scale_of(text: Column) -> Column:
     """The factor of the longest scale word in `text` (lower case), else null."""
-    out = F.lit(None).cast("decimal(13,0)")
-    for token in reversed(sorted(SCALES, key=lambda t: -len(t))):
-        out = F.when(text.rlike(_word(token)), F.lit(SCALES[token]).cast("decimal(13,0)")).otherwise(out)
-    return out
+    words, factors = F.lit(_BY_LENGTH), F.lit([SCALES[t] for t in _BY_LENGTH]).cast("array<decimal(13,0)>")
+    first = F.array_min(F.transform(F.regexp_extract_all(text, F.lit(ANY_SCALE), F.lit(0)), lambda w: F.array_position(words, w)))
+    return F.get(factors, (first - 1).cast("int"))
 
 
 def currency_of(text: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for token, code in reversed(CURRENCIES.items()):
-        out = F.when(text.contains(token), F.lit(code)).otherwise(out)
-    return out
+    """The code of the first currency token that `text` contains, else null."""
+    tokens = F.filter(F.lit(list(CURRENCIES)), lambda t: F.contains(text, t))
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in CURRENCIES.items() for x in pair]), F.get(tokens, F.lit(0)))
 
 
 def parse_quantity(text: Column, context: Column | None = None) -> Column:
@@ -69,24 +75,29 @@ def parse_quantity(text: Column, context: Column | None = None) -> Column:
     """
     context = F.lit("") if context is None else F.coalesce(context, F.lit(""))
     raw = F.trim(text)
-    blob = F.lower(F.concat(raw, F.lit(" "), context))
-    literal = number_literal(text)
-    bare = F.regexp_replace(literal, ",", "")
-    fits = ~bare.rlike(r"\.\d{9,}")
-    value = F.when(fits, bare.try_cast("decimal(24,8)"))
-    percent = raw.contains("%") | blob.contains("per cent") | blob.contains("percent")
-    scale = F.coalesce(scale_of(F.lower(raw)), scale_of(blob), F.lit(1).cast("decimal(13,0)"))
-    currency = currency_of(blob)
-    return F.when(
-        literal.isNotNull() & value.isNotNull(),
-        F.struct(
-            F.when(percent, value.cast(VALUE)).otherwise((value * scale).cast(VALUE)).alias("value"),
-            F.when(percent, "percent").when(currency.isNotNull(), "currency").otherwise("count").alias("unit"),
-            F.when(~percent, currency).alias("currency"),
-            significant_figures(literal).alias("sig_figs"),
-            raw.alias("raw"),
-        ),
-    )
+
+    def with_blob(blob: Column, literal: Column) -> Column:
+        bare = F.regexp_replace(literal, ",", "")
+        value = F.when(F.length(F.substring_index(bare, ".", -1)) <= F.when(bare.contains("."), 8).otherwise(99), bare.try_cast("decimal(24,8)"))
+        percent = raw.contains("%") | blob.contains("per cent") | blob.contains("percent")
+        scale = F.coalesce(scale_of(F.lower(raw)), scale_of(blob), F.lit(1).cast("decimal(13,0)"))
+        fields = let(
+            F.struct(value.alias("value"), percent.alias("percent"), F.when(~percent, currency_of(blob)).alias("currency")),
+            lambda x: F.when(
+                x["value"].isNotNull(),
+                F.struct(
+                    F.when(x["percent"], x["value"].cast(VALUE)).otherwise((x["value"] * scale).cast(VALUE)).alias("value"),
+                    F.when(x["percent"], "percent").when(x["currency"].isNotNull(), "currency").otherwise("count").alias("unit"),
+                    x["currency"].alias("currency"),
+                    significant_figures(literal).alias("sig_figs"),
+                    raw.alias("raw"),
+                ),
+            ),
+        )
+        return F.when(literal.isNotNull(), fields)
+
+    found = F.struct(F.lower(F.concat(raw, F.lit(" "), context)).alias("blob"), number_literal(text).alias("literal"))
+    return let(found, lambda x: with_blob(x["blob"], x["literal"]))
 
 
 def tolerance(value: Column, sig_figs: Column) -> Column:

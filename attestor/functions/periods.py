@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import let
+
 # Month names, and the months that each kind of "... ended" phrase spans.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 ENDED_MONTHS = {
@@ -38,26 +40,32 @@ def _day(year: Column, month: Column, day: Column) -> Column:
     return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
 
 
-def _group(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group)
-
-
-def _number(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(_group(text, pattern, group), F.lit("")).cast("int")
-
-
 def _month(name: Column) -> Column:
     return F.nullif(F.array_position(F.lit([m[:3] for m in MONTHS]), F.substring(F.lower(name), 1, 3)).cast("int"), F.lit(0))
 
 
+def _parts(text: Column, pattern: str, order: tuple[int, ...]) -> Column:
+    """The groups of the first match in the asked order, or null without one."""
+    found = F.regexp_extract(text, pattern, 0)
+    return F.when(found != "", F.split(F.regexp_replace(found, pattern, "\u0001".join(f"${i}" for i in order)), "\u0001"))
+
+
 def parse_date(text: Column) -> Column:
     """First of d/m/Y, d Month Y, Month d Y and ISO that is a real day."""
-    t = F.lower(F.trim(text))
-    return F.coalesce(
-        _day(_number(t, DATE_DMY, 3), _number(t, DATE_DMY, 2), _number(t, DATE_DMY, 1)),
-        _day(_number(t, DATE_D_MONTH_Y, 3), _month(_group(t, DATE_D_MONTH_Y, 2)), _number(t, DATE_D_MONTH_Y, 1)),
-        _day(_number(t, DATE_MONTH_D_Y, 3), _month(_group(t, DATE_MONTH_D_Y, 1)), _number(t, DATE_MONTH_D_Y, 2)),
-        _day(_number(t, DATE_ISO, 1), _number(t, DATE_ISO, 2), _number(t, DATE_ISO, 3)),
+    number = lambda p, i: F.get(p, F.lit(i)).cast("int")
+
+    def numeric(t: Column, pattern: str, order: tuple[int, int, int]) -> Column:
+        return let(_parts(t, pattern, order), lambda p: _day(number(p, 0), number(p, 1), number(p, 2)))
+
+    def named(t: Column, pattern: str, order: tuple[int, int, int]) -> Column:
+        return let(_parts(t, pattern, order), lambda p: _day(number(p, 0), _month(F.get(p, F.lit(1))), number(p, 2)))
+
+    return let(
+        F.lower(F.trim(text)),
+        lambda t: F.when(
+            t.rlike(r"\d"),
+            F.coalesce(numeric(t, DATE_DMY, (3, 2, 1)), named(t, DATE_D_MONTH_Y, (3, 2, 1)), named(t, DATE_MONTH_D_Y, (3, 1, 2)), numeric(t, DATE_ISO, (1, 2, 3))),
+        ),
     )
 
 
@@ -78,29 +86,33 @@ def parse_period(text: Column) -> Column:
 
     In order: quarter, fiscal range, single fiscal year, "... ended D", "as on D", a bare date.
     """
-    t = F.trim(F.regexp_replace(text, r"\s+", " "))
     april = lambda year: F.make_date(year, F.lit(4), F.lit(1))
     march = lambda year: F.make_date(year + 1, F.lit(3), F.lit(31))
-
-    q, y = _number(t, QUARTER, 1), expand_year(_number(t, QUARTER, 2))
-    first = F.add_months(april(F.when(_group(t, QUARTER, 3) != "", y).otherwise(y - 1)), 3 * (q - 1))
-    last = F.last_day(F.add_months(first, 2))
-    by_quarter = _period("duration", first, last, _group(t, QUARTER, 0))
-
-    y = _number(t, FISCAL_RANGE, 1)
-    by_range = _period("duration", april(y), march(y), _group(t, FISCAL_RANGE, 0))
-    y = _number(t, FISCAL_SINGLE, 1) - 1
-    by_single = _period("duration", april(y), march(y), _group(t, FISCAL_SINGLE, 0))
-
-    span = F.regexp_replace(F.lower(_group(t, ENDED, 1)), "-", " ")
-    months = F.coalesce(F.create_map(*[F.lit(x) for pair in ENDED_MONTHS.items() for x in pair])[span], F.lit(12))
-    end = parse_date(_group(t, ENDED, 2))
-    by_ended = _period("duration", F.trunc(F.add_months(end, 1 - months), "month"), end, _group(t, ENDED, 0))
-
-    day = parse_date(_group(t, AS_ON, 1))
-    by_day = _period("instant", day, day, _group(t, AS_ON, 0))
-    day = parse_date(t)
-    return F.coalesce(by_quarter, by_range, by_single, by_ended, by_day, _period("instant", day, day, t))
+    number = lambda p, i: F.nullif(F.get(p, F.lit(i)), F.lit("")).cast("int")
+    months_of = F.create_map(*[F.lit(x) for pair in ENDED_MONTHS.items() for x in pair])
+
+    def quarter(p: Column) -> Column:
+        y = expand_year(number(p, 2))
+        first = F.add_months(april(F.when(F.get(p, F.lit(3)) != "", y).otherwise(y - 1)), 3 * (number(p, 1) - 1))
+        return _period("duration", first, F.last_day(F.add_months(first, 2)), F.get(p, F.lit(0)))
+
+    def ended(p: Column) -> Column:
+        months = F.coalesce(F.try_element_at(months_of, F.regexp_replace(F.lower(F.get(p, F.lit(1))), "-", " ")), F.lit(12))
+        return let(parse_date(F.get(p, F.lit(2))), lambda end: _period("duration", F.trunc(F.add_months(end, 1 - months), "month"), end, F.get(p, F.lit(0))))
+
+    def first_of(t: Column) -> Column:
+        year = lambda p, less: _period("duration", april(number(p, 1) - less), march(number(p, 1) - less), F.get(p, F.lit(0)))
+        instant = lambda label: lambda day: _period("instant", day, day, label)
+        return F.coalesce(
+            let(_parts(t, QUARTER, (0, 1, 2, 3)), quarter),
+            let(_parts(t, FISCAL_RANGE, (0, 1)), lambda p: year(p, 0)),
+            let(_parts(t, FISCAL_SINGLE, (0, 1)), lambda p: year(p, 1)),
+            let(_parts(t, ENDED, (0, 1, 2)), ended),
+            let(_parts(t, AS_ON, (0, 1)), lambda p: let(parse_date(F.get(p, F.lit(1))), instant(F.get(p, F.lit(0))))),
+            let(parse_date(t), instant(t)),
+        )
+
+    return let(F.trim(F.regexp_replace(text, r"\s+", " ")), lambda t: F.when(t.rlike(r"\d"), first_of(t)))
 
 
 def relation(a: str, b: str) -> Column:

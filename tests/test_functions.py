@@ -1,12 +1,14 @@
+import time
 from datetime import date
 from decimal import Decimal
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from attestor.functions import numbers, periods
 from attestor.functions import text as texts
-from attestor.operators import verify
+from attestor.operators import sql_functions, verify
 
 
 def one(spark, column, *values):
@@ -31,23 +33,23 @@ def one(spark, column, *values):
 )
 def test_parse_quantity(spark, text, context, value, unit, currency):
     q = one(spark, numbers.parse_quantity, text, context)
-    twin = verify.amount(text, context)
+    twin = sql_functions.stated(pd.Series([text]), pd.Series([context])).iloc[0]
     if value is None:
         assert q is None
         return
     assert (q["value"], q["unit"], q["currency"]) == (Decimal(value), unit, currency)
-    assert (twin.value, twin.unit, twin.currency, twin.figures) == (Decimal(value), unit, currency, q["sig_figs"])
+    assert (twin["value"], twin["unit"], twin["currency"], twin["sig_figs"]) == (Decimal(value), unit, currency, q["sig_figs"])
 
 
 @pytest.mark.parametrize("text,n", [("120.4", 4), ("1,20,000", 2), ("12,040", 4), ("0.0500", 3), ("0", 1), ("-7.50", 3), ("0.00", 2), ("100.0", 4), ("007", 1)])
 def test_significant_figures(spark, text, n):
-    assert one(spark, numbers.significant_figures, text) == n == verify.figures(text)
+    assert one(spark, numbers.significant_figures, text) == n == sql_functions._figures(pd.Series([text]))[0]
 
 
 @pytest.mark.parametrize("value,n,expected", [("1204000000", 4, "500000"), ("0", 3, "0"), ("0.05", 1, "0.005"), ("999999", 1, "50000"), ("1000000", 1, "500000"), ("6.5", 2, "0.05")])
 def test_tolerance_is_exact(spark, value, n, expected):
     got = one(spark, lambda v: numbers.tolerance(v.cast("decimal(30,8)"), F.lit(n)), value)
-    assert got == Decimal(expected) == verify.Amount(Decimal(value), "count", None, n).tolerance()
+    assert got == Decimal(expected) == sql_functions._tolerance(Decimal(value), n)
 
 
 @pytest.mark.parametrize(
@@ -113,13 +115,39 @@ def test_names_and_addresses(spark):
         ("12", "it stood there in FY24", "", "unverified"),
     ],
 )
-def test_verify_value(value, quote, context, status):
-    assert verify.verify_value(value, quote, context)[0] == status
-
-
-def test_cell_only_strengthens_a_match():
-    assert verify.verify_value("12", "12", "", "12", "", True)[0] == "verified_with_context"
-    assert verify.verify_value("12", "12", "", "15", "", True)[0] == "verified"
+def test_verify_value(spark, value, quote, context, status):
+    row = verify.check_values(spark.createDataFrame([(value, quote, context)], "value_raw string, quote string, context string")).first()
+    assert row["status"] == status
+    again = sql_functions.verdicts(pd.Series([value]), pd.Series([quote]), pd.Series([context])).iloc[0]
+    assert (again["status"], again["reason"]) == (row["status"], row["reason"])
+
+
+def test_reasons_and_odd_input_of_verification(spark):
+    cases = [
+        (None, None, None, "non_numeric_value_no_deterministic_verifier"), ("5", None, "", "quote_contains_no_numeric_literal"), ("5", "", None, "quote_contains_no_numeric_literal"),
+        ("5%", "it was 5", "", "percent_vs_non_percent_ambiguous"), ("$ 5", "€ 5", "", "currency_mismatch_no_fx_conversion (USD vs EUR)"), ("₹ 7", "it was 9", "", "incomplete_currency_context_magnitude_differs"),
+        ("5 crore", "5 lakh", "", "scale_context_asymmetry_same_digits_different_scale"), ("12", "12 on 5 May 2020, 12.0 since", "", "value_matches_sole_quote_number"),
+        ("31", "31 on 45/13/2020", "", "multiple_numeric_candidates_in_quote_ambiguous"), ("8", "19", "", "value_disagrees_with_sole_quote_number"),
+    ]
+    rows = spark.createDataFrame([c[:3] for c in cases], "value_raw string, quote string, context string")
+    assert [r["reason"] for r in verify.check_values(rows).collect()] == [c[3] for c in cases]
+    assert sql_functions.verdicts(*(pd.Series([c[i] for c in cases], dtype=object) for i in range(3)))["reason"].tolist() == [c[3] for c in cases]
+
+
+def test_cell_only_strengthens_a_match(spark):
+    rows = [("12", "12", "", cell, "", labelled) for cell, labelled in (("12", True), ("15", True), ("12", False), (None, None))]
+    got = verify.check_values(spark.createDataFrame(rows, "value_raw string, quote string, context string, cell string, cell_unit string, labelled boolean")).collect()
+    assert [r["status"] for r in got] == ["verified_with_context", "verified", "verified", "verified"]
+
+
+def test_fuzzy_spans_in_long_pages():
+    page = " ".join(f"word{i} stands{i * 7 % 13}" for i in range(20000))
+    quote = page[150_000:150_120].strip()
+    wrong = quote[:40] + "x" + quote[41:90] + quote[92:]
+    began = time.time()
+    start, end, ratio = verify.fuzzy_span(wrong, page)
+    assert abs(start - 150_000) <= 2 and abs(end - 150_120) <= 2 and ratio > 0.97 and time.time() - began < 5
+    assert verify.fuzzy_span("", page) is None and verify.fuzzy_span("zzzz yyyy", page) is None and verify.fuzzy_span("ab", "") is None
 
 
 def test_spans():
