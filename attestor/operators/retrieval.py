@@ -60,7 +60,7 @@ def bm25(index: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     """
     lengths = index.select(key, "length").distinct()
     size = lengths.agg(F.count("*").alias("n_all"), F.avg("length").alias("mean"))
-    frequency = index.join(F.broadcast(queries.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("n"))
+    frequency = index.join(queries.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("n"))
     terms = queries.join(frequency, "term")
     # one row of corpus totals joins every posting
     hits = index.join(terms, "term").join(F.broadcast(size))

@@ -70,7 +70,7 @@ def a12_repeated_edge_lines(spark, sf_dir):
 
 
 def s02_word_offsets(spark, sf_dir):
-    words = documents.word_offsets(table(spark, sf_dir, "documents").where("lang = 'en'"))
+    words = documents.word_offsets(table(spark, sf_dir, "documents"))
     return words.groupBy("doc_id").agg(F.count("*").alias("words"), F.max("char_end").cast("long").alias("chars"))
 
 
@@ -82,8 +82,7 @@ def a10_page_scores(spark, sf_dir):
     """Pages that state quarters and counts, one for each day of orders."""
     day = F.to_date("o_orderdate")
     line = F.concat(F.lit("Q"), F.quarter(day), F.lit(" FY"), F.year(day), F.lit(": "), F.floor("o_totalprice").cast("long").cast("string"), F.lit(" plus "), (F.col("o_orderkey") + 5000).cast("string"))
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0")
-    page = rows.groupBy(F.date_format(day, "yyyy").alias("doc_id"), F.month(day).alias("page")).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))
+    page = table(spark, sf_dir, "orders").groupBy(F.date_format(day, "yyyy").alias("doc_id"), F.month(day).alias("page")).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))
     return documents.page_scores(page).select("doc_id", "page", "periods", "reason")
 
 
@@ -128,7 +127,7 @@ def j08_cells_matching(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     cells = lines.select(F.col("l_orderkey").alias("table_id"), F.lit(0).alias("row"), F.col("l_linenumber").alias("col"), F.col("l_quantity").cast("int").cast("string").alias("value"), (F.col("l_returnflag") == "R").alias("ambiguous"))
     wanted = lines.where("l_linenumber = 1").select(F.col("l_orderkey").alias("table_id"), F.col("l_quantity").cast("int").cast("decimal(30,8)").alias("wanted"), F.lit(4).alias("sig_figs"))
-    return documents.cells_matching(wanted, cells.where("value % 10 <> 0")).select("table_id", "col")
+    return documents.cells_matching(wanted, cells).select("table_id", "col")
 
 
 def _boxes(spark, sf_dir):
@@ -202,15 +201,15 @@ SQL = {
         e as (select source, unnest(case when len(l) > 2 then list_concat(l[1:2], l[-2:]) else l[1:2] end) as line from t), n as (select source, count(*) as pages from t group by source),
         c as (select source, regexp_replace(lower(trim(regexp_replace(line, '\\s+', ' ', 'g'))), '\\d+', '#', 'g') as line, count(*) as n from e group by all)
         select c.source as doc_id, line, c.n as n from c join n as total on c.source = total.source where c.n >= greatest(2, ceil(0.01 * pages))""",
-    "S-02_word_offsets": "with d as (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from documents where lang = 'en') select doc_id, len(string_split(t, ' ')) as words, length(t) as chars from d where t <> ''",
+    "S-02_word_offsets": "with d as (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from documents) select doc_id, len(string_split(t, ' ')) as words, length(t) as chars from d where t <> ''",
     "S-03_pages": "select doc_id, cast(ceil(len(string_split(coalesce(text, ''), chr(10))) / 3) as bigint) as pages from documents",
-    "A-10_page_scores": "with o as (select strftime(o_orderdate, '%Y') as doc_id, cast(month(o_orderdate) as integer) as page, count(*) as n from orders where o_orderkey % 4 = 0 group by all) select doc_id, page, 2 as periods, 'candidate' as reason from o",
+    "A-10_page_scores": "with o as (select strftime(o_orderdate, '%Y') as doc_id, cast(month(o_orderdate) as integer) as page, count(*) as n from orders group by all) select doc_id, page, 2 as periods, 'candidate' as reason from o",
     "W-12_page_budget": f"with {_PAGES} select doc_id, page from customer_pages where candidate and rank <= budget",
     "X-12_triage_report": f"with {_PAGES} select doc_id, case when candidate and rank <= budget then 'selected' when candidate then 'over_budget' else 'not_candidate' end as outcome, count(*) as n from customer_pages group by all",
     "W-07_pieces": "select doc_id, cast(length(coalesce(text, '')) as bigint) as chars, true as fits from documents",
     "W-05_ffill_header": "with l as (select l_orderkey, l_linenumber, min(l_returnflag) as flag from lineitem group by all) select l_orderkey as table_id, l_linenumber as col, last_value(case when flag <> 'R' then concat('h', l_linenumber) end ignore nulls) over (partition by l_orderkey order by l_linenumber) as header from l",
     "A-20_row_labels": "select l_orderkey % 1000 as table_id, count(*) filter (l_linenumber % 2 = 0) <= count(*) / 2 as confident from lineitem group by 1",
-    "J-08_cells_matching": "select a.l_orderkey as table_id, b.l_linenumber as col from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = 1 where b.l_returnflag <> 'R' and cast(floor(b.l_quantity) as integer) % 10 <> 0 and abs(floor(a.l_quantity) - floor(b.l_quantity)) <= case when floor(b.l_quantity) >= 1 then 0.5 else 0.05 end + 5 * power(10, floor(log10(floor(a.l_quantity))) - 4)",
+    "J-08_cells_matching": "select a.l_orderkey as table_id, b.l_linenumber as col from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = 1 where b.l_returnflag <> 'R' and abs(floor(a.l_quantity) - floor(b.l_quantity)) <= case when floor(b.l_quantity) % 10 = 0 then 5 when floor(b.l_quantity) >= 1 then 0.5 else 0.05 end + 5 * power(10, floor(log10(floor(a.l_quantity))) - 4)",
     "W-09_lines": f"with {_BOX}, s as (select *, case when top - lag(top) over (partition by page_id order by top, x0) > 3 then 1 else 0 end as step from boxes) select page_id, x0, cast(sum(step) over (partition by page_id order by top, x0 rows unbounded preceding) as integer) as line from s",
     "W-10_blocks": f"with {_BOX}, d as (select distinct page_id, top from boxes), s as (select *, case when top - (lag(top) over (partition by page_id order by top) + 2) > 6 then 1 else 0 end as step from d) select page_id, top, cast(sum(step) over (partition by page_id order by top rows unbounded preceding) as integer) as block from s",
     "J-19_overlap": f"with {_BOX} select page_id, x0 from boxes where x0 < 3.5 and top < 45 and top + 2 > 15",

@@ -17,8 +17,8 @@ def _vectors(spark, sf_dir):
 
 
 def _queries(spark, sf_dir):
-    """The stated query set: vectors whose id 50 divides."""
-    return _vectors(spark, sf_dir).where("vec_id % 50 = 0")
+    """The stated query set: vectors whose id 20 divides."""
+    return _vectors(spark, sf_dir).where("vec_id % 20 = 0")
 
 
 def _semantic(spark, sf_dir):
@@ -30,12 +30,12 @@ def _all_semantic(spark, sf_dir):
 
 
 def _lexical(spark, sf_dir) -> DataFrame:
-    """Each query vector's document asks for the documents that share its first four words."""
+    """Each query vector's document asks, with all its words, for the documents that share any."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     vectors = _vectors(spark, sf_dir).select("vec_id", "label")
     index = retrieval.postings(docs.join(vectors.select("vec_id"), "vec_id", "left_semi"), "vec_id", "text")
     asked = docs.join(_queries(spark, sf_dir).select("vec_id"), "vec_id", "left_semi")
-    asked = asked.select(F.col("vec_id").alias("query"), F.explode(F.array_distinct(F.slice(texts.tokens(F.col("text")), 1, 4))).alias("term"))
+    asked = asked.select(F.col("vec_id").alias("query"), F.explode(F.array_distinct(texts.tokens(F.col("text")))).alias("term"))
     hits = retrieval.bm25(index, asked, "vec_id")
     blocks = vectors.withColumnRenamed("label", "query_label").withColumnRenamed("vec_id", "query")
     hits = hits.join(vectors, "vec_id").join(blocks, "query").where("label = query_label and query <> vec_id")
@@ -105,7 +105,8 @@ def a14_diagnostics(spark, sf_dir):
 
 
 def p16_metadata_filter(spark, sf_dir):
-    hits = retrieval.cosine(_vectors(spark, sf_dir).where("vec_id % 3 = 0"), _queries(spark, sf_dir), "vec_id", "label", "embedding")
+    """The filter is the feature: only rows whose label is at most 3 may be found."""
+    hits = retrieval.cosine(_vectors(spark, sf_dir).where("label <= 3"), _queries(spark, sf_dir), "vec_id", "label", "embedding")
     return retrieval.top(hits, "vec_id", 5).select("query", "vec_id", "rank")
 
 
@@ -128,7 +129,7 @@ QUERIES = {
 _UNIT = "list_transform(embedding, lambda x: cast(x as double) / sqrt(list_sum(list_transform(embedding, lambda y: cast(y as double) * cast(y as double)))))"
 
 
-def _semantic_sql(queries: str = "vec_id % 50 = 0", index: str = "true") -> str:
+def _semantic_sql(queries: str = "vec_id % 20 = 0", index: str = "true") -> str:
     return f"""v as (select vec_id, label, {_UNIT} as u from embeddings),
 sem as (select q.vec_id as query, d.vec_id, d.label, round(list_sum(list_transform(list_zip(q.u, d.u), lambda p: p[1] * p[2])), 6) as score
     from (select * from v where {queries}) q join (select * from v where {index}) d on q.label = d.label and q.vec_id <> d.vec_id)"""
@@ -137,7 +138,7 @@ sem as (select q.vec_id as query, d.vec_id, d.label, round(list_sum(list_transfo
 _LEX = """words as (select doc_id as vec_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') as w from documents where doc_id in (select vec_id from embeddings)),
 idx as (select vec_id, term, len(any_value(w)) as length, count(*) as tf from (select vec_id, w, unnest(w) as term from words) group by vec_id, term),
 tot as (select count(*) as big_n, avg(len(w)) as mean from words where len(w) > 0),
-qt as (select distinct vec_id as query, unnest(w[1:4]) as term from words where vec_id % 50 = 0),
+qt as (select distinct vec_id as query, unnest(w) as term from words where vec_id % 20 = 0),
 df as (select term, count(*) as n from idx where term in (select term from qt) group by term),
 raw as (select query, idx.vec_id, sum(greatest(1e-6, ln((big_n - n + 0.5) / (n + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) as score
     from idx join qt using (term) join df using (term) cross join tot group by all),
@@ -169,7 +170,7 @@ SQL = {
     + " from k left join b using (one, other)",
     "A-21_index_stats": "select label, count(*) as bucket_size, cast(max(len(embedding)) as integer) as dimension from embeddings group by label",
     "A-22_candidate_funnel": f"with {_FUSED}, f as (select query, count(*) as fused from fused group by query), l as (select query, count(*) as lexical from lex group by query), s as (select query, count(*) as semantic from sem group by query) select query, fused, coalesce(lexical, 0) as lexical, coalesce(semantic, 0) as semantic, least(fused, 10) as kept from f left join l using (query) left join s using (query)",
-    "P-16_metadata_filter": f"with {_semantic_sql(index='vec_id % 3 = 0')}, r as (select query, vec_id, {_RANK} as rank from sem) select * from r where rank <= 5",
+    "P-16_metadata_filter": f"with {_semantic_sql(index='label <= 3')}, r as (select query, vec_id, {_RANK} as rank from sem) select * from r where rank <= 5",
     "P-17_query_words": "select c_custkey, concat(array_to_string(regexp_extract_all(lower(c_name), '[a-z0-9_]+'), ' '), ' order_total unknown') as words from customer",
     "F-67_normalized": f"select vec_id, round(list_sum(list_transform({_UNIT}, lambda x: x * x)), 6) as norm, round({_UNIT}[1], 6) as first from embeddings",
 }

@@ -1,20 +1,25 @@
 """A claim store of Parquet tables in versioned snapshots.
 
-`root/versions/<n>/<table>` holds a snapshot, and `root/CURRENT` names the one that is read. A
-full save writes a new version and then replaces the pointer, so readers see either the
-old or the new state. Incremental saves append files of one document to the current version.
+Each version is a manifest, `root/manifests/<n>`, that names the folders of every table. A
+new version only writes what changes and names the rest again, so that claims, vectors and index texts
+share a store. A manifest is written beside its place and renamed to a name that nobody has used, which is one step
+in a file system: readers see the old state or the new one, and a writer that loses a race fails.
 All access goes through Spark's file systems, so the root may lie in any store that Spark reads.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from abc import ABC, abstractmethod
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as texts
+from ..operators import retrieval
+
 #: Tables and their natural keys.
 TABLES = {
     "documents": ["doc_id"],
@@ -71,34 +76,62 @@ class ParquetStore(FactStore):
 
     def version(self) -> int:
         """The snapshot that is read; 0 if there is none."""
-        if not self._fs.exists(self._path("CURRENT")):
+        if not self._fs.exists(self._path("manifests")):
             return 0
-        return int(self.spark.read.text(f"{self.root}/CURRENT").first()[0])
-
-    def _publish(self, version: int) -> None:
-        """Writes the pointer beside the old one and renames it over it."""
-        new, current = self._path("CURRENT.new"), self._path("CURRENT")
-        out = self._fs.create(new, True)
-        out.write(bytearray(str(version).encode()))
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path("manifests"))]
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def manifest(self, version: int | None = None) -> dict[str, list[str]]:
+        """The folders of each table, below the root."""
+        version = self.version() if version is None else version
+        return json.loads(self.spark.read.text(f"{self.root}/manifests/{version}").first()[0]) if version else {}
+
+    def _publish(self, version: int, manifest: dict[str, list[str]]) -> None:
+        draft, place = self._path(f"manifests/.{uuid.uuid4().hex}"), self._path(f"manifests/{version}")
+        out = self._fs.create(draft, True)
+        out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        self._fs.delete(current, False)
-        self._fs.rename(new, current)
+        if self._fs.exists(place) or not self._fs.rename(draft, place):
+            self._fs.delete(draft, False)
+            raise RuntimeError(f"version {version} was written by another ingest meanwhile")
+
+    def _write(self, df: DataFrame, path: str) -> None:
+        df.write.parquet(path)
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.option("mergeSchema", "true").parquet(*paths)
+
+    def commit(self, new: dict[str, DataFrame] | None = None, more: dict[str, DataFrame] | None = None, only: bool = False) -> int:
+        """Publishes a version in which the tables of `new` are replaced and those of `more` get further rows.
+
+        The other tables stay, or, with `only`, just those that are no claim tables. Returns the version.
+        """
+        version = self.version()
+        manifest = {k: v for k, v in self.manifest(version).items() if not only or k not in TABLES}
+        for added, tables in ((False, new or {}), (True, more or {})):
+            for name, df in tables.items():
+                folder = f"data/{version + 1}-{uuid.uuid4().hex}/{name}"
+                self._write(df, f"{self.root}/{folder}")
+                manifest[name] = [*(manifest.get(name, []) if added else []), folder]
+        self._publish(version + 1, manifest)
+        return version + 1
+
+    def table(self, name: str) -> DataFrame | None:
+        paths = self.manifest().get(name)
+        return self._read([f"{self.root}/{p}" for p in paths]) if paths else None
 
     def load(self) -> dict[str, DataFrame]:
-        version, found = self.version(), {}
+        manifest, found = self.manifest(), {}
         for name in TABLES:
-            path = f"{self.root}/versions/{version}/{name}"
-            if version and self._fs.exists(self._hadoop.Path(path)):
-                found[name] = self.spark.read.parquet(path)
+            if name in manifest:
+                found[name] = self._read([f"{self.root}/{p}" for p in manifest[name]])
             elif name in SCHEMAS:
                 found[name] = self.spark.createDataFrame([], SCHEMAS[name])
         return found
 
     def save(self, tables: dict[str, DataFrame]) -> None:
-        version = self.version() + 1
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/versions/{version}/{name}")
-        self._publish(version)
+        """The whole store anew; index tables stay."""
+        self.commit(new=tables, only=True)
 
     def upsert(self, tables: dict[str, DataFrame]) -> None:
         """A new snapshot in which the given rows replace those of the same natural key."""
@@ -115,13 +148,8 @@ class ParquetStore(FactStore):
         self.save(merged)
 
     def save_new(self, tables: dict[str, DataFrame]) -> None:
-        """Appends one ingest's rows to the current snapshot; the first one makes a snapshot."""
-        version = self.version()
-        if not version:
-            return self.save(tables)
-        for name, df in tables.items():
-            df.write.mode("append").parquet(f"{self.root}/versions/{version}/{name}")
-        return None
+        """Adds one ingest's rows to all tables in one step."""
+        self.commit(more=tables)
 
     def delete_facts(self, fact_ids: DataFrame) -> None:
         """Removes claims with their evidence and relations, in a new snapshot."""
@@ -141,24 +169,16 @@ class JsonStore(ParquetStore):
 
     supports_incremental_save = False
 
-    def load(self) -> dict[str, DataFrame]:
-        version, found = self.version(), {}
-        for name in TABLES:
-            path = f"{self.root}/versions/{version}/{name}"
-            if version and self._fs.exists(self._hadoop.Path(path)):
-                schema = T.StructType.fromJson(json.loads(self.spark.read.text(f"{path}.schema").first()[0]))
-                found[name] = self.spark.read.schema(schema).json(path)
-            elif name in SCHEMAS:
-                found[name] = self.spark.createDataFrame([], SCHEMAS[name])
-        return found
+    def _write(self, df: DataFrame, path: str) -> None:
+        df.write.json(path)
+        self.spark.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.text(f"{path}.schema")
 
-    def save(self, tables: dict[str, DataFrame]) -> None:
-        version = self.version() + 1
-        for name, df in tables.items():
-            path = f"{self.root}/versions/{version}/{name}"
-            df.write.mode("overwrite").json(path)
-            self.spark.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.schema")
-        self._publish(version)
+    def _read(self, paths: list[str]) -> DataFrame:
+        parts = [self.spark.read.schema(T.StructType.fromJson(json.loads(self.spark.read.text(f"{p}.schema").first()[0]))).json(p) for p in paths]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part, allowMissingColumns=True)
+        return out
 
 
 def open_store(spark: SparkSession, root: str, backend: str = "parquet") -> FactStore:
@@ -198,30 +218,76 @@ def migrate(source: FactStore, target: FactStore) -> DataFrame:
 # --- vectors and lexical index ----------------------------------------------------------------------
 
 
-class VectorTable:
-    """Vectors by id with their block, as a Parquet table; upserts and deletions rewrite by anti-join."""
+class IndexTable:
+    """Rows by fact_id in a store, as a log: upserts and deletions add rows, and the last one of an id counts.
+
+    A rewrite of the whole table is only needed to `compact` or `rebuild` it.
+    """
+
+    name = "index"
 
     def __init__(self, store: ParquetStore):
         self.store = store
 
+    def _add(self, rows: DataFrame, deleted: bool) -> None:
+        marked = rows.withColumns({"__version": F.lit(self.store.version() + 1), "__deleted": F.lit(deleted)})
+        self.store.commit(more={self.name: marked})
+
     def upsert(self, rows: DataFrame) -> None:
-        old = self.all()
-        kept = rows if old is None else old.join(rows.select("fact_id"), "fact_id", "left_anti").unionByName(rows)
-        self._write(kept)
+        """Adds rows or replaces those of the same fact_id; of several new ones any stays."""
+        self._add(rows.dropDuplicates(["fact_id"]), False)
 
     def delete(self, ids: DataFrame) -> None:
-        old = self.all()
-        if old is not None:
-            self._write(old.join(ids.select("fact_id"), "fact_id", "left_anti"))
+        """Marks ids as gone; unknown ones do no harm."""
+        self._add(ids.select("fact_id").distinct(), True)
 
     def all(self) -> DataFrame | None:
-        version = self.store.version()
-        return self.store.spark.read.parquet(f"{self.store.root}/versions/{version}/vectors") if version else None
+        """The rows that are there, or null before the first upsert."""
+        log = self.store.table(self.name)
+        if log is None:
+            return None
+        columns = [c for c in log.columns if not c.startswith("__")]
+        last = log.groupBy("fact_id").agg(F.max_by(F.struct("__deleted", *[c for c in columns if c != "fact_id"]), "__version").alias("r"))
+        return last.where("not r.__deleted").select("fact_id", *[F.col(f"r.{c}").alias(c) for c in columns if c != "fact_id"])
+
+    def compact(self) -> None:
+        """Drops replaced and deleted rows."""
+        rows = self.all()
+        if rows is not None:
+            self.rebuild(rows)
+
+    def rebuild(self, rows: DataFrame) -> None:
+        """The index anew from `rows`."""
+        self.store.commit(new={self.name: rows.withColumns({"__version": F.lit(self.store.version() + 1), "__deleted": F.lit(False)})})
+
+    def summary(self) -> DataFrame:
+        """Rows by block."""
+        return self.all().groupBy("block_key").agg(F.count("*").alias("rows"))
+
+
+class VectorTable(IndexTable):
+    """fact_id, block_key and vector."""
+
+    name = "vectors"
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        """query, fact_id, score and rank: the k nearest rows of each query's block by cosine, itself left out."""
+        return retrieval.top(retrieval.cosine(self.all(), queries, "fact_id", "block_key", "vector"), "fact_id", k)
+
+
+class LexicalTable(IndexTable):
+    """fact_id, block_key and retrieval_text."""
+
+    name = "lexical"
 
-    def _write(self, rows: DataFrame) -> None:
-        version = self.store.version() + 1
-        rows.write.mode("overwrite").parquet(f"{self.store.root}/versions/{version}/vectors")
-        self.store._publish(version)
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        """query, fact_id, score and rank by BM25; `queries` has query, block_key and text."""
+        rows = self.all()
+        asked = queries.select("query", F.explode(texts.query_tokens(F.col("text"))).alias("term")).distinct()
+        hits = retrieval.bm25(retrieval.postings(rows, "fact_id", "retrieval_text"), asked, "fact_id")
+        blocks = queries.select("query", "block_key")
+        hits = hits.join(rows.select("fact_id", "block_key"), "fact_id").join(blocks, ["query", "block_key"])
+        return retrieval.top(hits.where("query <> fact_id"), "fact_id", k)
 
 
 def missing_embeddings(texts: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:

@@ -1,7 +1,8 @@
 """Incremental ingest as a stream of claim files.
 
-Each micro-batch drops the documents that were ingested before, forms the pairs that hold a new
-claim and appends claims and relations. One query runs one batch at a time, so ingests
+Each micro-batch drops the claims that were ingested before, forms the pairs that hold a new
+claim and appends claims and relations. A claim's id is its content, so a document that is sent again adds nothing, and
+one whose claims come in several batches loses none. One query runs one batch at a time, so ingests
 never overlap. A batch that is run again after a failure leaves the same rows, as its output
 folder is named after the batch and overwritten.
 """
@@ -36,12 +37,12 @@ class IncrementalStore:
         rows.write.mode("overwrite").parquet(f"{self.root}/{table}/batch={batch}")
 
     def ingest(self, claims: DataFrame, batch: int) -> None:
-        """One micro-batch: new documents only, then pairs of new with new and new with old."""
+        """One micro-batch: new claims only, then pairs of new with new and new with old."""
         old = self.read("claims", before=batch)
         claims = claims.dropDuplicates(["fact_id"])
         if old is not None:
             old = old.drop("batch")
-            claims = claims.join(old.select("doc_id").distinct(), "doc_id", "left_anti")
+            claims = claims.join(old.select("fact_id"), "fact_id", "left_anti")
         claims = claims.persist()
         known = claims.limit(0) if old is None else old.select(*claims.columns)
         self.append("relations", pairs.relations(pairs.delta_pairs(claims, known)), batch)

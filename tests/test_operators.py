@@ -182,6 +182,50 @@ def test_deletion_cascades_and_saves_append(spark, tmp_path):
     assert s.load()["facts"].count() == 4 and s.load()["relations"].count() == 1
 
 
+def test_vectors_and_facts_share_a_store(spark, tmp_path):
+    s = store.ParquetStore(spark, f"file://{tmp_path}/s")
+    facts = spark.createDataFrame([claim(i) for i in range(4)], CLAIM)
+    s.save({"facts": facts})
+    v, lex = store.VectorTable(s), store.LexicalTable(s)
+    assert v.all() is None
+    row = lambda i, x: (f"f{i}", f"b{i % 2}", [float(x), 1.0])
+    schema = "fact_id string, block_key string, vector array<double>"
+    v.upsert(spark.createDataFrame([row(i, i) for i in range(6)], schema))
+    lex.upsert(spark.createDataFrame([(f"f{i}", "b0", f"subject: acme measure: revenue {w}") for i, w in enumerate(["net sales", "gross sales", "profit"])], "fact_id string, block_key string, retrieval_text string"))
+    v.delete(spark.createDataFrame([("f4",), ("unknown",)], "fact_id string"))
+    v.upsert(spark.createDataFrame([row(2, -9)], schema))
+    ids = lambda: {r["fact_id"]: r["vector"][0] for r in v.all().collect()}
+    assert ids() == {"f0": 0.0, "f1": 1.0, "f2": -9.0, "f3": 3.0, "f5": 5.0} and s.load()["facts"].count() == 4
+    found = v.search(v.all().where("fact_id = 'f1'"), 2).orderBy("rank").collect()
+    assert [r["fact_id"] for r in found] == ["f3", "f5"]
+    s.save({"facts": facts.limit(1)})  # the index stays
+    s.save_new({"facts": facts.where("fact_id = 'f3'")})
+    v.compact()
+    assert ids() == {"f0": 0.0, "f1": 1.0, "f2": -9.0, "f3": 3.0, "f5": 5.0} and len(s.manifest()["vectors"]) == 1
+    assert s.load()["facts"].count() == 2 and {r["block_key"]: r["rows"] for r in v.summary().collect()} == {"b0": 2, "b1": 3}
+    asked = spark.createDataFrame([("f9", "b0", "measure: sales")], "query string, block_key string, text string")
+    assert {r["fact_id"] for r in lex.search(asked, 5).collect()} == {"f0", "f1"}
+    v.delete(v.all().select("fact_id"))
+    assert v.all().count() == 0
+
+
+def test_two_writers_of_one_version_do_not_both_win(spark, tmp_path):
+    s = store.ParquetStore(spark, f"file://{tmp_path}/s")
+    s.save({"facts": spark.createDataFrame([claim(1)], CLAIM)})
+    with pytest.raises(RuntimeError):
+        s._publish(1, {})
+    assert s.version() == 1 and s.load()["facts"].count() == 1
+
+
+def test_documents_that_come_in_several_batches_lose_nothing(spark, tmp_path):
+    rows = claims(spark, SF)
+    s = ingest.IncrementalStore(spark, f"file://{tmp_path}/i")
+    for i in range(3):
+        s.ingest(rows.where(F.pmod(F.xxhash64("fact_id"), F.lit(3)) == i), i)
+    assert s.read("claims").count() == rows.select("fact_id").distinct().count()
+    assert s.read("relations").count() == pairs.relations(pairs.cluster_pairs(rows)).count()
+
+
 def test_rejected_log_skips_broken_lines(spark, tmp_path):
     path = tmp_path / "r.json"
     path.write_text('{"raw_fact": "{}", "doc_id": "d", "page": 1, "reason": "no_subject"}\nnot json\n')
