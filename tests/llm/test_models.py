@@ -208,6 +208,48 @@ def test_copies_of_items_are_found(spark):
     assert decontamination.find_copies(docs, bench.where("item_id = 3")).count() == 0
 
 
+def plain_words(text):
+    low = "".join(c.lower() if c < "\u0250" else c for c in text or "")
+    return "".join(" " if ord(c) < 128 and not c.isalnum() else c for c in low).split()
+
+
+def smith_waterman(q, t):
+    row, best = [0.0] * (len(t) + 1), 0.0
+    for a in q:
+        new = [0.0]
+        for j, b in enumerate(t, 1):
+            new.append(max(0.0, row[j - 1] + (1.0 if a == b else -0.5), row[j] - 0.5, new[j - 1] - 0.5))
+        row, best = new, max(best, *new)
+    return best
+
+
+@pytest.mark.parametrize("merge", [False, True])
+def test_copies_match_alignment_of_all_pairs(spark, monkeypatch, merge):
+    if merge:
+        monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(decontamination, "CELLS", 300)
+    rng = random.Random(6)
+    items = {i: prose(rng.randrange(8, 40), 3000 + i) for i in range(12)} | {50: "echo " * 12, 51: "echo echo"}
+    texts = dict(ODD)
+    for k in range(40):
+        parts = [prose(rng.randrange(0, 60), 4000 + k)]
+        for _ in range(rng.randrange(3)):
+            w = items[rng.randrange(12)].split()
+            w = [x if rng.random() > 0.12 else "new" + x for x in w if rng.random() > 0.04]
+            parts += [" ".join(w), prose(rng.randrange(0, 30), 5000 + k)]
+        texts[k] = " ".join(parts)
+    texts |= {60: prose(20, 1) + " echo" * 300 + prose(9, 2), 61: "echo, Echo!", 62: texts[1], 63: None}
+    docs = documents(spark, texts)
+    rows = decontamination.find_copies(docs.unionByName(docs.where("doc_id < 10")), spark.createDataFrame([*items.items(), (3, items[3])], "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in rows}
+    assert len(got) == len(rows)
+    best = {(k, i): smith_waterman(plain_words(q), plain_words(t)) / len(plain_words(q)) for k, t in texts.items() for i, q in items.items()}
+    assert all(abs(best[k] - x) < 1e-9 for k, x in got.items())
+    # below that a copy may share no three words in a row
+    assert {k for k, x in best.items() if x >= 0.6} <= set(got) <= {k for k, x in best.items() if x >= 0.5}
+    assert (60, 50) in got and (61, 51) in got
+
+
 def test_alignment_matches_the_textbook():
     rng = np.random.default_rng(2)
     for _ in range(40):
