@@ -189,6 +189,33 @@ def test_topk_query_with_odd_vectors(spark, tmp_path):
     assert topk_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def brute_top(data, every, k=5):
+    x = [(i, np.floor(256 * np.array(v, np.float64)).astype(np.int64)) for i, v in data]
+    width = max(len(v) for _, v in x)
+    x = [(i, np.pad(v, (0, width - len(v)))) for i, v in x]
+    out = []
+    for i, q in x:
+        if i % every == 0:
+            best = sorted((-int(q @ v), j) for j, v in x if j != i)[:k]
+            out += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("spread", [0.05, 1.0])
+def test_thresholds_hold_over_all_ranges_and_skip_blocks_of_clustered_rows(spark, monkeypatch, spread):
+    for name, value in (("RANGE_ROWS", 60), ("CHUNK_ROWS", 9), ("BLOCK", 8), ("SUMMARIES", 3)):
+        monkeypatch.setattr(topk_search, name, value)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 16)) * 2
+    data = [(i, [float(v) for v in np.float32(centres[i % 12] + spread * rng.normal(size=16))]) for i in range(900)]
+    data += [(900, [1.0, 2.0, 3.0]), (950, [0.0] * 16)] + [(1000 + i, data[7][1]) for i in range(80)]  # shorter, all ties, many equal rows
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk_search.top_k(df, 10).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == brute_top(data, 10)
+    scored, there = topk_search.pruning(df, 10)
+    assert scored < (0.35 if spread < 0.1 else 1.3) * there
+
+
 # --- decontamination --------------------------------------------------------------------------------
 
 
