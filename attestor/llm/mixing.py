@@ -1,6 +1,6 @@
 """Mixing documents to target domain weights by soft membership; DataFrame functions only.
 
-1. A naive-Bayes classifier over hashed words, their beginnings and the text's shape is fitted on the labelled table (a
+1. A naive-Bayes classifier over hashed words and the text's shape is fitted on the labelled table (a
    bounded sample of it) and gives every document a posterior over the domains. A feature speaks only for
    the domain where it is significantly more frequent than in each other one (log-odds of `STRONG` or more, a root likelihood ratio
    of `SIGNIFICANT`), once for a document, so that long texts don't add up noise.
@@ -36,7 +36,7 @@ from .common import sample_below, saved
 MAX_TRAIN = 9000
 #: Size of the classifier's table: the features it keeps, the most significant ones; bounds what is collected and broadcast.
 MAX_WORDS = 20_000
-#: There are many words and beginnings, some of which are rare by chance, and few shapes.
+#: There are many words, some of which are rare by chance, and few shapes.
 SIGNIFICANT, SIGNIFICANT_SHAPE, STRONG = 5.0, 3.0, 1.0
 #: The features of a shape are at this number and above, those of words below.
 SHAPES = 1 << 40
@@ -50,39 +50,42 @@ ABSENT_WORDS, LEAST_ABSENT = 100, -4.0
 BROADCAST_ROWS = 500_000
 
 
-def word_list(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+BLANKS = r"[\x20\x09-\x0D]+"
 
 
-#: Letters at a word's start that count as features of their own.
-PREFIXES = (5,)
 #: Words from which on a text has a shape.
 SHAPE_WORDS = 12
-MARKS = "!|#*~^=_<>{}[]@$%&+\\"
 
 
-def features(words: Column, text: Column) -> Column:
-    """What stands for a text's distinct words and their beginnings (32-bit hashes), and for its shape.
+def featured(rows: DataFrame) -> DataFrame:
+    """Adds words, once (the distinct ones), and shape (strings).
 
-    The shape is told in steps: distinct words, words like the one before, letters of a word, capitals, digits and marks by all
-    characters, and lines. So junk is told by its form, whatever its words are.
+    The shape is told in steps: distinct words by the number of words, letters of a word, capitals, digits and marks by all
+    characters, and lines. So junk is told by its form, whatever its words are. Each step is a projection of
+    its own, so that nothing is worked out twice, and no function is called for a single word.
     """
-    once = F.array_distinct(words)
-    begin = [F.array_distinct(F.transform(F.filter(once, lambda w: F.length(w) > k), lambda w: F.hash(F.substring(w, 1, k), F.lit(k)))) for k in PREFIXES]  # noqa: B023
-    n, size = F.size(words), F.greatest(F.length(text), F.lit(1))
-    without = lambda chars: (size - F.length(F.translate(text, chars, ""))) / size
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    n, size = F.size("words"), F.greatest(F.length("text"), F.lit(1))
+    only = lambda kind: F.length(F.regexp_replace("text", f"[^{kind}]+", ""))
+    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
+    rows = rows.withColumn("low", F.lower("text")).withColumn("words", F.array_remove(F.split("low", BLANKS), "")).withColumn("once", F.array_distinct("words"))
+    share = lambda count, steps: F.floor(count / size * steps)
     steps = [
-        F.floor(F.lit(12) * F.size(once) / F.greatest(n, F.lit(1))) * 32 + F.floor(F.log2(n + F.lit(1)) / 2),
-        F.ceil(F.lit(6) * F.size(F.filter(F.zip_with(words, F.slice(words, F.lit(2), F.greatest(n, F.lit(1))), lambda a, b: a == b), lambda same: same)) / F.greatest(n, F.lit(1))),
-        F.floor(F.length(F.array_join(words, "")) / F.greatest(n, F.lit(1)) / 1.5),
-        F.floor(without(letters) * 12),
-        F.floor(without("0123456789") * 20),
-        F.floor(without(MARKS) * 25),
-        F.floor(without("\n") * 100),
+        F.floor(F.lit(12) * F.size("once") / F.greatest(n, F.lit(1))) * 32 + F.floor(F.log2(n + F.lit(1)) / 2),
+        F.floor(F.lit(40) * F.size("once") / F.greatest(n, F.lit(1))) + F.when(n >= 100, 100).otherwise(0),
+        F.floor((size - n) / F.greatest(n, F.lit(1)) / 1.5),
+        share(only("A-Z"), 12),
+        share(only("0-9"), 20),
+        share(only("!|#*~=%&$"), 25),
+        share(only("\\n"), 100),
     ]
-    shape = F.array(*[F.lit(SHAPES + (i << 20)) + x.cast("long") for i, x in enumerate(steps)])
-    return F.concat(F.transform(once, lambda w: F.hash(w).cast("long")), *[b.cast("array<long>") for b in begin], F.when(n >= SHAPE_WORDS, shape).otherwise(F.array().cast("array<long>")))
+    shape = F.array(*[F.concat(F.lit(f"\u0002{i}:"), x.cast("string")) for i, x in enumerate(steps)])
+    return rows.withColumn("shape", F.when(n >= SHAPE_WORDS, shape).otherwise(F.array().cast("array<string>"))).drop("low")
+
+
+def _number(feature: Column) -> Column:
+    """What stands for a feature: a 32-bit hash, from SHAPES on for those of a shape."""
+    number = F.hash(feature).cast("long")
+    return F.when(F.startswith(feature, F.lit("\u0002")), F.lit(SHAPES) + F.pmod(number, F.lit(1 << 32))).otherwise(number)
 
 
 #: Domains, log-priors, by word the log-odds of the one domain that it speaks for, and by domain what it says when none of its words is there.
@@ -106,8 +109,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
         taken = taken | ((F.col("domain") == d) & sample_below(F.col("doc_id"), min(1.0, max_train / len(domains) / sizes[d])))
     # at most about max_train rows
     some = F.broadcast(labels.where(taken))
-    rows = docs.select("doc_id", "text").join(some, "doc_id").select("domain", "text", word_list(F.col("text")).alias("words"))
-    rows = rows.select("domain", features(F.col("words"), F.coalesce("text", F.lit(""))).alias("buckets"), F.transform("words", lambda w: F.hash(w)).alias("all"))
+    rows = docs.select("doc_id", "text").join(some, "doc_id").select("domain", "text")
+    rows = featured(rows).select("domain", F.concat("once", "shape").alias("buckets"), F.transform("words", lambda w: F.hash(w)).alias("all"))
     # copies of one text would make its words look typical of its domain: one of those with equal least word triples stays
     triples = F.when(F.size("all") >= 3, F.transform(F.sequence(F.lit(0), F.size("all") - 3), lambda i: F.struct(F.get("all", i), F.get("all", i + 1), F.get("all", i + 2))))
     least = lambda seed: F.array_min(F.transform("triples", lambda t: F.xxhash64(t, F.lit(seed))))
@@ -118,7 +121,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
     total = sum(sizes.values())
     n = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     everyone = sum(n.values())
-    held = rows.select("domain", F.explode("buckets").alias("b")).groupBy("b").agg(F.count("*").alias("whole"), *[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)])
+    held = rows.select("domain", F.explode("buckets").alias("f")).select("domain", _number(F.col("f")).alias("b")).groupBy("b").agg(F.count("*").alias("whole"), *[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)])
     # each word against the domain that comes second in its rate
     k = range(len(domains))
     rate = [(F.col(f"n{i}") + SMOOTHING) / (n.get(d, 0) + 1) for i, d in enumerate(domains)]
@@ -159,11 +162,20 @@ def posteriors(docs: DataFrame, model: Model) -> DataFrame:
     domains, prior, odds, absent = model
     k = range(len(domains))
     table = docs.sparkSession.createDataFrame([(b, *row) for b, row in odds.items()], "b long, " + ", ".join(f"s{i} double" for i in k))
-    rows = docs.select(_key().alias("key"), "text", word_list(F.col("text")).alias("words")).where(F.size("words") > 0)  # before the words are dealt out, else once for each
-    words = rows.select("key", F.size("words").cast("long").alias("tokens"), F.posexplode(features(F.col("words"), F.col("text"))).alias("at", "b"))
-    hits = words.join(F.broadcast(table), "b", "left").where("at = 0 or s0 is not null")
+    rows = docs.select(_key().alias("key"), F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), BLANKS), "").alias("words"))
+    words = rows.select("key", F.size("words").cast("long").alias("tokens"), F.posexplode(F.array_distinct("words")).alias("at", "f")).select("key", "tokens", "at", F.hash("f").cast("long").alias("b"))
+    hits = words.join(F.broadcast(table), "b", "left").where("at = 0 or s0 is not null").select("key", "tokens", "at", *[f"s{i}" for i in k])
+    # a shape has few steps, which are looked up in place
+    known = {b: row for b, row in odds.items() if b >= SHAPES}
+    if known:
+        says = [F.create_map(*[F.lit(x) for b, row in known.items() for x in (b, float(row[i]))]) for i in k]
+        one = lambda b: F.array(*[F.coalesce(F.try_element_at(m, b), F.lit(0.0)) for m in says])
+        total = F.aggregate(F.transform("shape", _number), F.array(*[F.lit(0.0) for _ in k]), lambda t, b: F.zip_with(t, one(b), lambda x, y: x + y))
+        shaped = featured(docs.select(_key().alias("key"), "text")).select("key", F.size("words").cast("long").alias("tokens"), total.alias("s"))
+        hits = hits.unionByName(shaped.select("key", "tokens", F.lit(-1).alias("at"), *[F.get("s", F.lit(i)).alias(f"s{i}") for i in k]))
     # equal rows add up alike, which their number takes back
     sums = hits.groupBy("key", "tokens").agg(F.count_if(F.col("at") == 0).alias("rows"), *[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)).alias(f"s{i}") for i in k])
+    sums = sums.where("rows > 0")
     long = F.least(F.lit(1.0), F.col("tokens") / ABSENT_WORDS)
     sums = sums.withColumn("logits", F.array(*[F.lit(prior[i]) + F.lit(absent[i]) * long + F.col(f"s{i}") / F.col("rows") for i in k]))
     sums = sums.withColumn("e", F.transform("logits", lambda x: F.exp(x - F.array_max("logits"))))
