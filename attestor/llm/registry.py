@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chaining, decontamination, language_id, mixing, near_dedup, quality, secrets, sharding, substring_dedup, topk_search
+from . import chaining, clustering, decontamination, language_id, merkle, mixing, near_dedup, quality, repetition, secrets, sharding, substring_dedup, topk_search
 from .common import saved, table
+from .contract_sql import OP11_SQL, OP12_SQL, OP13_SQL
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +62,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.fuzzy_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repetition.quality_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bytes", "covered_bytes", "base_failed", "kept")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, {"text": merkle.tampered(F.col("doc_id"), F.col("text"))})
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.lloyd(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_secret_scan, op2_sharding, op3_suffix_array_dedup, op4_quality_classifier, op5_mixing, op6_exact_topk_search, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_language_id, op10_substring_dedup]
+    found = [op1_secret_scan, op2_sharding, op3_suffix_array_dedup, op4_quality_classifier, op5_mixing, op6_exact_topk_search, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_language_id, op10_substring_dedup, op11_quality_rules, op12_merkle_manifest, op13_centroid_clustering]
     return {f.__name__: f for f in found}
 
 
@@ -99,4 +114,5 @@ OP8_SQL = """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_minhash_near_dedup": OP8_SQL, "op6_exact_topk_search": OP6_SQL}
+    made = {"op11_quality_rules": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_centroid_clustering": OP13_SQL}
+    return {"op8_minhash_near_dedup": OP8_SQL, "op6_exact_topk_search": OP6_SQL} | made
