@@ -109,8 +109,9 @@ def fuse(lexical: DataFrame, semantic: DataFrame, key: str, config: RetrievalCon
     one = ranked(min_max(lexical), key).select("query", key, F.col("normal").alias("lexical"), F.col("rank").alias("lexical_rank"))
     two = ranked(min_max(semantic), key).select("query", key, F.col("normal").alias("semantic"), F.col("rank").alias("semantic_rank"))
     both = one.join(two, ["query", key], "full_outer").fillna(0.0, ["lexical", "semantic"])
-    hybrid = F.round(config.lexical_weight * F.col("lexical") + config.semantic_weight * F.col("semantic"), 6)
-    return ranked(both.withColumn("hybrid", hybrid), key, "hybrid")
+    both = both.withColumn("hybrid", config.lexical_weight * F.col("lexical") + config.semantic_weight * F.col("semantic"))
+    # scores that differ after the sixth digit tie; only the rank is by rounded ones, so that a caller rounds once
+    return ranked(both.withColumn("__rounded", F.round("hybrid", 6)), key, "__rounded").drop("__rounded")
 
 
 def annotate(hits: DataFrame, known: DataFrame, key: str, block: str) -> DataFrame:

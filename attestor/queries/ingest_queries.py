@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import resolve, verify
 from ..sources.claims import CLAIM_COLUMNS, claims, table
+from ..sources.scratch import fresh_folder
 from ..streaming.ingest import IncrementalStore, start
 from .pair_queries import RELATIONS_SQL
 
 
 def _folder(spark) -> str:
-    """A fresh folder that all executors share."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        # without a shared folder of its own the warehouse, which all executors reach
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
-    return f"{context.getCheckpointDir()}/ingest-{uuid.uuid4().hex}"
+    return fresh_folder(spark, "ingest")
 
 
 def x08_subjects(spark, sf_dir):
@@ -46,6 +40,14 @@ def x07_measures(spark, sf_dir):
     return rows.select("seq", "measure_raw", "measure", "tier")
 
 
+def st02_registry(spark, sf_dir):
+    """Part names as measures in two batches, small parts first: the registry of the first goes into the second."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("measure_raw"), "p_size")
+    small, registry = resolve.resolve_measures(parts.where("p_size <= 25"))
+    large, _ = resolve.resolve_measures(parts.where("p_size > 25 or p_size is null"), registry)
+    return small.unionByName(large).select("seq", "measure_raw", "measure", "tier", "confidence")
+
+
 def a07_resolution_summary(spark, sf_dir):
     return resolve.summary(x07_measures(spark, sf_dir))
 
@@ -110,7 +112,7 @@ def j02_two_batches(spark, sf_dir):
 
 
 QUERIES = {
-    "X-07_measures": x07_measures, "X-08_subjects": x08_subjects, "X-09_issuers": x09_issuers, "X-10_indicators": x10_indicators, "A-07_resolution_summary": a07_resolution_summary,
+    "X-07_measures": x07_measures, "X-08_subjects": x08_subjects, "X-09_issuers": x09_issuers, "X-10_indicators": x10_indicators, "A-07_resolution_summary": a07_resolution_summary, "ST-02_measure_registry": st02_registry,
     "F-39_fuzzy_resolve": f39_fuzzy_resolve, "F-11_verify_value": f11_verify_value, "X-03_verify_build": x03_verify_build, "ST-01_streaming_ingest": st01_streaming_ingest,
     "S-09_incremental_save": j02_two_batches,
 }

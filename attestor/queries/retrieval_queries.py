@@ -160,7 +160,7 @@ SQL = {
     "W-01_channel_rank": f"with {_semantic_sql()} select query, vec_id, {_RANK} as rank from sem",
     "W-02_minmax": f"with {_semantic_sql()} select query, vec_id, round(normal, 5) as normal from {_normal('sem')}",
     "J-05_fusion": f"with {_FUSED} select query, vec_id, round(lexical, 4) as lexical, round(semantic, 4) as semantic from fused",
-    "W-03_hybrid": f"with {_FUSED}, h as (select query, vec_id, round(0.45 * lexical + 0.55 * semantic, 6) as hybrid from fused), r as (select *, row_number() over (partition by query order by hybrid desc, vec_id) as rank from h) select query, vec_id, round(hybrid, 4) as hybrid from r where rank <= 5",
+    "W-03_hybrid": f"with {_FUSED}, h as (select query, vec_id, 0.45 * lexical + 0.55 * semantic as hybrid from fused), r as (select *, row_number() over (partition by query order by round(hybrid, 6) desc, vec_id) as rank from h) select query, vec_id, round(hybrid, 4) as hybrid from r where rank <= 5",
     "W-04_adaptive_ladder": "with n as (select a.vec_id as query, count(*) as n from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id group by all) select query, n, cast(case when n < 10 then 10 when n < 25 then 25 when n < 50 then 50 else 100 end as integer) as rung, cast(case when n < 10 then 1 when n < 25 then 2 when n < 50 then 3 else 4 end as integer) as rounds, case when n < 100 then 'no_further_candidates' else 'budget_exhausted' end as reason from n",
     "J-03_candidate_pairs": f"with {_semantic_sql('true')}, r as (select query, vec_id, {_RANK} as rank from sem) select distinct least(query, vec_id) as one, greatest(query, vec_id) as other from r where rank <= 10",
     "J-06_annotate": f"with {_semantic_sql()}, r as (select query, vec_id, label, {_RANK} as rank from sem), x as (select query, case when r.vec_id % 7 = 0 then 'UNKNOWN_FACT_ID' when r.vec_id % 5 = 0 then 'BLOCK' end as reason from r where rank <= 10) select query, case when reason is null then 'candidate' else 'blocked' end as status, reason, count(*) as n from x group by all",
