@@ -30,6 +30,12 @@ def similarity(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
+def similarity_from(a: str, b: str, least: float) -> float:
+    """The ratio, or 0 where the counts of characters alone keep it under `least`."""
+    matcher = difflib.SequenceMatcher(None, a, b)
+    return matcher.ratio() if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least else 0.0
+
+
 def _ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         yield pdf.assign(ratio=[similarity(a, b) for a, b in zip(pdf["later_text"], pdf["earlier_text"], strict=True)])
