@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as texts
-from ..operators import retrieval
-from ..sources.claims import table
+from ..operators import adaptive, retrieval
+from ..sources.claims import CLAIMS_SQL, claims, table
+from .pair_queries import RELATIONS_SQL
 
 N_QUERIES = 10
 
@@ -119,7 +120,30 @@ def f67_normalized(spark, sf_dir):
     return _vectors(spark, sf_dir).select("vec_id", F.round(retrieval.dot(v, v), 6).alias("norm"), F.round(F.get(v, F.lit(0)), 6).alias("first"))
 
 
+def j04_relations(spark, sf_dir):
+    """All claims, with a budget that no block exceeds: the relations of all pairs."""
+    rows = claims(spark, sf_dir)
+    largest = rows.groupBy(*adaptive.BLOCK).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    found = adaptive.relations(rows, mode="retrieval", knobs=adaptive.Knobs(k_ladder=(10, max(11, largest))))
+    return found.select(F.least("source_id", "target_id").alias("one"), F.greatest("source_id", "target_id").alias("other"), "relation", "reason_code")
+
+
+def j04_terminations(spark, sf_dir):
+    """Why each claim's search ended, on the standard ladder."""
+    _, ends = adaptive.adaptive_search(claims(spark, sf_dir))
+    return ends.groupBy("k", "rounds", "reason", "bounded").agg(F.count("*").alias("n"), F.sum("retrieved").alias("retrieved"), F.sum("unblocked").alias("unblocked"))
+
+
+def j04_blocked(spark, sf_dir):
+    """Claims against an authoritative set that lacks some ids and has others in another block: those are blocked."""
+    rows = claims(spark, sf_dir)
+    known = rows.where("seq % 9 > 0").withColumn("measure", F.when(F.col("seq") % 4 == 0, "other").otherwise(F.col("measure")))
+    found, _ = adaptive.adaptive_search(rows, known=known, knobs=adaptive.Knobs(k_ladder=(1000,)))
+    return found.groupBy("status", "blocking_reason").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
+    "J-04_retrieval_relations": j04_relations, "J-04_terminations": j04_terminations, "J-04_blocked": j04_blocked,
     "T-01_cosine_topk": t01_cosine_topk, "T-02_bm25_topk": t02_bm25_topk, "W-01_channel_rank": w01_channel_rank, "W-02_minmax": w02_minmax,
     "J-05_fusion": j05_fusion, "W-03_hybrid": w03_hybrid, "W-04_adaptive_ladder": w04_adaptive_ladder, "J-03_candidate_pairs": j03_candidate_pairs,
     "J-06_annotate": j06_annotate, "A-14_diagnostics": a14_diagnostics, "A-15_recall_at_k": a15_recall_at_k, "A-21_index_stats": a21_index_stats,
@@ -154,7 +178,15 @@ fused as (select coalesce(l.query, s.query) as query, coalesce(l.vec_id, s.vec_i
     from {_normal("lex")} l full outer join {_normal("sem")} s on l.query = s.query and l.vec_id = s.vec_id)"""
 _RANK = "cast(row_number() over (partition by query order by score desc, vec_id) as integer)"
 
+_BLOCKS = f"{CLAIMS_SQL}, b as (select seq, count(*) over (partition by subject, measure, value_kind) - 1 as n from claims)"
+
 SQL = {
+    "J-04_retrieval_relations": f"with {RELATIONS_SQL} select least(source_id, target_id) as one, greatest(source_id, target_id) as other, relation, reason_code from relations",
+    "J-04_terminations": f"""with {_BLOCKS}, e as (select *, case when n < 10 then 10 when n < 25 then 25 when n < 50 then 50 else 100 end as k from b)
+        select cast(k as integer) as k, cast(case k when 10 then 1 when 25 then 2 when 50 then 3 else 4 end as integer) as rounds, case when n = 0 then 'no_candidates_found' when n < k then 'no_further_candidates' else 'budget_exhausted' end as reason,
+            n >= k as bounded, count(*) as n, cast(sum(least(n, k)) as bigint) as retrieved, cast(sum(least(n, k)) as bigint) as unblocked from e group by all""",
+    "J-04_blocked": f"""with {CLAIMS_SQL}, p as (select case when b.seq % 9 = 0 then 'UNKNOWN_FACT_ID' when (b.seq % 4 = 0) then 'BLOCK' end as blocking_reason from claims a join claims b on a.subject = b.subject and a.measure = b.measure and a.value_kind = b.value_kind and a.seq <> b.seq)
+        select case when blocking_reason is null then 'candidate' else 'blocked' end as status, blocking_reason, count(*) as n from p group by all""",
     "T-01_cosine_topk": f"with {_semantic_sql()}, r as (select query, vec_id, score, {_RANK} as rank from sem) select * from r where rank <= 10",
     "T-02_bm25_topk": f"with {_LEX}, r as (select query, vec_id, score, {_RANK} as rank from lex) select * from r where rank <= 10",
     "W-01_channel_rank": f"with {_semantic_sql()} select query, vec_id, {_RANK} as rank from sem",
