@@ -90,6 +90,13 @@ def records(replies: DataFrame, keys: list[str], reply: str = "reply", fields: t
     return replies.select(*keys, bare_reply(F.col(reply)).alias("__bare")).mapInArrow(read, schema)
 
 
+def replayed(prompts: DataFrame, kept: DataFrame, prompt: str = "prompt") -> DataFrame:
+    """`prompts` with key, reply and hit: replies that were kept (key, reply) under the SHA-256 of the same prompt. A miss has no reply; nothing is asked anew."""
+    rows = prompts.withColumn("key", F.sha2(F.coalesce(F.col(prompt), F.lit("")), 256))
+    one = kept.groupBy("key").agg(F.min("reply").alias("reply"))
+    return rows.join(one, "key", "left").withColumn("hit", F.col("reply").isNotNull())
+
+
 def opening_texts(pages: DataFrame) -> DataFrame:
     """(doc_id, opening): the first pages of every document that aren't blank, each under its number, cut at OPENING_CHARS."""
     first = pages.where(F.col("page") <= OPENING_PAGES)

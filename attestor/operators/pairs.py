@@ -193,7 +193,11 @@ def kept(adjudicated: DataFrame) -> DataFrame:
 
 def relations(pairs: DataFrame) -> DataFrame:
     """The relations that a set of pairs gives, with their ids and period relation."""
-    rows = kept(adjudicate(gate(pairs)))
+    return shown(kept(adjudicate(gate(pairs))))
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    """The columns of relations, from adjudicated pairs."""
     return rows.select(
         keys.relation_id().alias("relation_id"),
         "source_id",

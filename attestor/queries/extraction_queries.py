@@ -65,6 +65,22 @@ def x05_report(spark, sf_dir):
     return report
 
 
+def x04_boxes(spark, sf_dir):
+    """The same claims, where only customers of even number have words with boxes on their pages."""
+    pages = _claim_pages(spark, sf_dir)
+    words = pages.where("doc_id % 2 = 0").select("doc_id", "page", F.lit(0).alias("char_start"), F.length("text").alias("char_end"), *[F.lit(float(v)).alias(c) for c, v in (("x0", 1), ("top", 2), ("x1", 3), ("bottom", 4))])
+    replies = _replies(spark, sf_dir).select("doc_id", F.lit(0).cast("long").alias("batch"), "reply")
+    claims, _ = extraction.extract_claims(pages, replies, words=words)
+    return claims.where("char_start is not null").select("doc_id", "nth", "confidence", F.col("box.x1").alias("x1"))
+
+
+def s12_replay(spark, sf_dir):
+    """Texts as prompts, of which every third was answered before."""
+    prompts = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"))
+    kept = prompts.where("doc_id % 3 = 0").select(F.sha2(F.coalesce("prompt", F.lit("")), 256).alias("key"), F.concat(F.lit("reply to "), F.length("prompt").cast("string")).alias("reply"))
+    return extraction.replayed(prompts, kept).select("doc_id", "key", "reply", "hit")
+
+
 def _default_replies(spark, sf_dir):
     """What a model would say of each document's opening: its source as issuer, and a scope for some."""
     scope = F.when(F.col("doc_id") % 3 == 0, "Consolidated").when(F.col("doc_id") % 3 == 1, "as filed")
@@ -88,7 +104,7 @@ def x01_defaults(spark, sf_dir):
     return extraction.inherited(raw, defaults).select("doc_id", "nth", "period_raw", "period_from", "scope_raw", "scope_from", "issuer_raw", "issuer_from")
 
 
-QUERIES = {"F-62_reply_records": f62_records, "X-05_extract_claims": x05_extract, "X-05_extract_report": x05_report, "X-01_openings": x01_openings, "X-01_document_defaults": x01_defaults}
+QUERIES = {"F-62_reply_records": f62_records, "X-05_extract_claims": x05_extract, "X-05_extract_report": x05_report, "X-04_boxes": x04_boxes, "S-12_replay": s12_replay, "X-01_openings": x01_openings, "X-01_document_defaults": x01_defaults}
 
 _READ = """f as (select o_custkey as doc_id, o_orderkey, cast(floor(o_totalprice) as bigint) as whole, row_number() over (partition by o_custkey order by o_orderkey) - 1 as nth, count(*) over (partition by o_custkey) as n, o_custkey % 6 as kind, o_orderkey % 5 as k from orders),
     r as (select * from f where kind < 4 or kind = 4 and nth < n - 1 or kind = 5 and nth = 0)"""
@@ -102,6 +118,8 @@ SQL = {
         case when k = 1 then concat('Rs. ', whole * 3 + 1) else concat('Rs. ', whole) end as value_raw, case when k = 4 then 'FY2023-24' end as period_raw from r
         union all select doc_id, null, 'unreadable', null, null, null from f where kind = 4 and n = 1""",
     "X-05_extract_claims": f"with {_CLAIMS} select doc_id, cast(nth as integer) as nth, rejected, 'quantity' as value_kind, case when k = 4 then 1.0 else 0.9 end::double as confidence from c",
+    "X-04_boxes": f"with {_CLAIMS} select doc_id, cast(nth as integer) as nth, case when doc_id % 2 = 0 then case when k = 4 then 1.0 else 0.9 end else case when k = 4 then 0.8 else 0.72 end end::double as confidence, case when doc_id % 2 = 0 then 3.0 end::double as x1 from c where k <> 2",
+    "S-12_replay": "with k as (select distinct text, concat('reply to ', length(text)) as reply from documents where doc_id % 3 = 0 and text is not null) select doc_id, sha256(coalesce(d.text, '')) as key, reply, reply is not null as hit from documents d left join k on k.text = d.text",
     "X-05_extract_report": f"""with {_CLAIMS}, d as (select doc_id, any_value(n) as n, any_value(kind) as kind from f group by doc_id), s as (select doc_id, count(*) as records, count(*) filter (rejected is null) as claims, count(rejected) as rejected from c where doc_id % 7 > 0 group by doc_id)
         select doc_id, 1 as chunks, case when doc_id % 7 = 0 then 1 else 0 end as missed, case when doc_id % 7 > 0 and kind = 4 and n > 1 then 1 else 0 end as cut, case when doc_id % 7 > 0 and kind = 4 and n = 1 then 1 else 0 end as unreadable,
             coalesce(records, 0) as records, coalesce(claims, 0) as claims, coalesce(rejected, 0) as rejected from d left join s using (doc_id)""",

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import cluster_queries, document_queries, extraction_queries, function_queries, ingest_queries, job_queries, more_queries, page_queries, pair_queries, retrieval_queries
+from .queries import cluster_queries, document_queries, evidence_queries, extraction_queries, function_queries, ingest_queries, job_queries, more_queries, page_queries, pair_queries, retrieval_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [pair_queries, cluster_queries, retrieval_queries, function_queries, document_queries, extraction_queries, ingest_queries, job_queries, more_queries, page_queries]
+MODULES = [pair_queries, cluster_queries, retrieval_queries, function_queries, document_queries, evidence_queries, extraction_queries, ingest_queries, job_queries, more_queries, page_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
