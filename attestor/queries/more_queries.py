@@ -37,16 +37,19 @@ def a25_pair_totals(spark, sf_dir):
     return clusters.beside(some.agg(F.count("*").alias("pairs")), pairs.relations(some).agg(F.count("*").alias("relations")))
 
 
+def _corpus(spark, sf_dir):
+    return corpus(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq")))
+
+
 def s20_corpus(spark, sf_dir):
-    """Claims, clusters and pairs of the 12,000-claim corpus."""
-    rows = corpus(spark)
-    sizes = rows.groupBy("subject", "measure").agg(F.count("*").alias("n"))
-    return sizes.agg(F.sum("n").alias("claims"), F.count("*").alias("clusters"), F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"), F.max("n").alias("largest"))
+    """Claims, clusters and pairs of the corpus over the orders' numbers."""
+    sizes = _corpus(spark, sf_dir).groupBy("subject", "measure").agg(F.count("*").alias("n"))
+    return sizes.agg(F.sum("n").alias("claims"), F.count("*").alias("clusters"), F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")).alias("pairs"), F.max("n").alias("largest"))
 
 
 def s20_relations(spark, sf_dir):
     """The brute-force relations of the corpus, by kind."""
-    return pairs.relations(pairs.cluster_pairs(corpus(spark))).groupBy("relation").agg(F.count("*").alias("n"))
+    return pairs.relations(pairs.cluster_pairs(_corpus(spark, sf_dir))).groupBy("relation").agg(F.count("*").alias("n"))
 
 
 def t03_fixed_k(spark, sf_dir):
@@ -131,7 +134,7 @@ QUERIES = {
     "F-41_retrieval_text": f41_retrieval_text, "F-46_text_block": f46_text_block, "F-64_json": f64_json, "A-11_diagnostics": a11_diagnostics, "A-13_span_box": a13_span_box, "X-04_confidence": x04_confidence,
 }
 
-_CORPUS = CORPUS_SQL.format(n=12000, per_doc=120)
+_CORPUS = CORPUS_SQL.format(ids="select o_orderkey as seq from orders")
 _LINES = ["subject", "measure", "value_kind", "unit", "currency", "period_label", "scope", "modality", "issuer", "segment"]
 _LABELS = ["subject", "measure", "value kind", "unit", "currency", "period", "scope", "modality", "issuer", "segment"]
 _TEXT = "concat_ws(chr(10), {})".format(", ".join(f"concat('{label}: ', coalesce({c}, ''))" for label, c in zip(_LABELS, _LINES, strict=True)))
@@ -140,7 +143,8 @@ SQL = {
     "P-09_dropped": f"with {RELATIONS_SQL} select case when relation = 'unrelated' then 'unrelated' when relation = 'corroborates' and a_doc_id = b_doc_id then 'own_agreement' else 'kept' end as outcome, count(*) as n from decided group by all",
     "A-23_candidate_relations": f"with {RELATIONS_SQL}, u as (select source_id as fact_id, relation from relations union all select target_id, relation from relations) select fact_id, relation, count(*) as n from u group by all",
     "A-25_pair_totals": f"with {RELATIONS_SQL} select (select count(*) from pairs) as pairs, (select count(*) from relations) as relations",
-    "S-20_corpus": f"with {_CORPUS}, c as (select count(*) as n from corpus group by subject, measure) select cast(sum(n) as bigint) as claims, count(*) as clusters, cast(sum(n * (n - 1) // 2) as bigint) as pairs, max(n) as largest from c",
+    "S-20_corpus": f"with {_CORPUS}, c as (select count(*) as n from claims group by subject, measure) select cast(sum(n) as bigint) as claims, count(*) as clusters, cast(sum(n * (n - 1) // 2) as bigint) as pairs, max(n) as largest from c",
+    "S-20_relations": f"with {RELATIONS_SQL.replace(CLAIMS_SQL, _CORPUS)} select relation, count(*) as n from relations group by relation",
     "T-03_fixed_k": f"with {_FUSED}, r as (select query, row_number() over (partition by query order by round(0.45 * lexical + 0.55 * semantic, 6) desc, vec_id) as rank from fused) select query, count(*) as n from r where rank <= 10 group by query",
     "U-01_channel_union": f"with {_FUSED} select query, vec_id from fused",
     "U-04_recovery": f"with {_semantic_sql('true')}, r as (select query, vec_id, {_RANK} as rank from sem), f as (select distinct least(query, vec_id) as one, greatest(query, vec_id) as other from r where rank <= 10), k as (select a.vec_id as one, c.vec_id as other from embeddings a join embeddings c on a.label = c.label and a.vec_id < c.vec_id and c.vec_id < a.vec_id + 30) select (select count(*) from k) as known, (select count(*) from k join f using (one, other)) as recovered",

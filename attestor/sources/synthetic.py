@@ -1,38 +1,42 @@
-"""A synthetic claim corpus of any size, from row numbers alone.
+"""A synthetic claim corpus over any table's row numbers.
 
-`n_docs` documents of `per_doc` claims over 25 subjects and 20 measures; some 8 in 100 claims fall on six popular
-pairs. Periods, scopes and values repeat in fixed cycles, so the corpus is the same on every run and in every engine.
+Each 12,000 numbers make a corpus of their own, of documents of 120 claims over 25 subjects and 20 measures; some 8 in 100 claims
+fall on six popular pairs. Periods, scopes and values repeat in fixed cycles, so the corpus is the same on every run and in every engine, and
+its clusters stay as large as they are, however long the table is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SUBJECTS, MEASURES, POPULAR = 25, 20, 6
+SUBJECTS, MEASURES, POPULAR, PER_DOC, PER_CORPUS = 25, 20, 6, 120, 12_000
 
-CORPUS_SQL = """
-ids as (select range as seq, (range * 7919 + 104729) % 1000003 as h from range({n})),
-corpus as (
-    select seq, concat('s', seq) as fact_id, cast(seq // {per_doc} as varchar) as doc_id, cast(seq % 40 + 1 as integer) as page,
-        case when h % 100 < 8 then concat('subject', h % 6) else concat('subject', h // 100 % 25) end as subject,
-        case when h % 100 < 8 then concat('measure', h % 6) else concat('measure', h // 2500 % 20) end as measure
-    from ids
+#: The claim view, with `{ids}` as a query of the numbers (seq).
+CORPUS_SQL = f"""
+claims as (
+    select seq, concat('s', seq) as fact_id, cast(seq // {PER_DOC} as varchar) as doc_id, cast(seq % 40 + 1 as integer) as page,
+        concat('subject', seq // {PER_CORPUS}, '_', case when h % 100 < 8 then h % {POPULAR} else h // 100 % {SUBJECTS} end) as subject,
+        concat('measure', case when h % 100 < 8 then h % {POPULAR} else h // 2500 % {MEASURES} end) as measure,
+        'quantity' as value_kind, cast(1000 + h % 9000 as decimal(30,8)) as value, 'currency' as unit, 'INR' as currency, 4 as sig_figs, cast(null as varchar) as text_value,
+        'duration' as period_kind, make_date(2016 + h // 7 % 8, 4, 1) as period_start, make_date(2017 + h // 7 % 8, 3, 31) as period_end, concat('FY', 2016 + h // 7 % 8) as period_label,
+        ['unknown', 'standalone', 'consolidated', 'unknown'][h // 3 % 4 + 1] as scope, 'asserted' as modality, cast(null as varchar) as issuer, cast(null as varchar) as segment, cast(null as varchar) as basis, 1.0::double as confidence
+    from (select seq, (seq * 7919 + 104729) % 1000003 as h from ({{ids}}))
 )"""
 
 
-def corpus(spark: SparkSession, n_docs: int = 100, per_doc: int = 120) -> DataFrame:
-    """Claims with the columns of the claim view."""
+def corpus(ids: DataFrame) -> DataFrame:
+    """Claims with the columns of the claim view, one for each number in `seq`."""
     h = (F.col("seq") * 7919 + 104729) % 1000003
     popular = h % 100 < 8
     name = lambda kind, usual: F.concat(F.lit(kind), F.when(popular, h % POPULAR).otherwise(usual).cast("string"))
     year = (F.lit(2016) + F.floor(h / 7) % 8).cast("int")
-    return spark.range(n_docs * per_doc).withColumnRenamed("id", "seq").select(
+    return ids.select(
         "seq",
         F.concat(F.lit("s"), F.col("seq").cast("string")).alias("fact_id"),
-        F.floor(F.col("seq") / per_doc).cast("string").alias("doc_id"),
+        F.floor(F.col("seq") / PER_DOC).cast("string").alias("doc_id"),
         (F.col("seq") % 40 + 1).cast("int").alias("page"),
-        name("subject", F.floor(h / 100) % SUBJECTS).alias("subject"),
+        F.concat(F.lit("subject"), F.floor(F.col("seq") / PER_CORPUS).cast("string"), name("_", F.floor(h / 100) % SUBJECTS)).alias("subject"),
         name("measure", F.floor(h / 2500) % MEASURES).alias("measure"),
         F.lit("quantity").alias("value_kind"),
         (F.lit(1000) + h % 9000).cast("decimal(30,8)").alias("value"),
