@@ -74,4 +74,4 @@ def test_run_gives_the_last_stage_and_bears_no_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 100
     spark.createDataFrame([], SCHEMA).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
-    assert len(registry.queries()) == 10
+    assert len(registry.queries()) == 13
