@@ -124,7 +124,7 @@ QUERIES = {
 _L = "l as (select l_orderkey, l_linenumber, min(l_returnflag) as flag, cast(floor(min(l_quantity)) as integer) as quantity from lineitem group by all)"
 _PAGE = f"""{_L}, p as (select l_orderkey // 64 as page_id, l_orderkey % 64 * 80 + l_linenumber * 10 as top, l_linenumber as nth, flag, quantity, (l_orderkey // 64) % 3 as kind from l)"""
 #: Each line's gutter; lines of tables (top of every fifth page) and with dots aren't asked.
-_GUTTERS = """asked as (select page_id, case when kind > 0 and flag <> 'R' then case kind when 1 then 135.0 else 45 + 30 * (1 + nth % 4) end end as x from p where nth <> 7 and {where}),
+_GUTTERS = """asked as (select page_id, case when kind > 0 and flag <> 'R' then cast(case kind when 1 then 135 else 45 + 30 * (1 + nth % 4) end as double) end as x from p where nth <> 7 and {where}),
     mid as (select page_id, count(*) as n, count(x) as wide, median(x) as m from asked group by page_id),
     near as (select page_id, n, wide, m, count_if(abs(x - m) < 15) as near from asked join mid using (page_id) group by all),
     g as (select page_id, count(*) as lines, coalesce(any_value(n >= 8 and wide >= 0.5 * n and near >= 0.7 * wide and near >= 0.5 * n), false) as multi_column, any_value(m) as m from p left join near using (page_id) group by page_id)"""
