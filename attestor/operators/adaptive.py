@@ -103,10 +103,10 @@ def unit(vector: Column) -> Column:
 
 def _lexical(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """(query, fact_id, score) of every claim of the query's block that shares a word with it, label words aside. Statistics are those of the whole index."""
-    words = docs.select("fact_id", "block", texts.tokens(F.col("text")).alias("terms"))
-    index = words.select("fact_id", "block", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("fact_id", "block", "length", "term").agg(F.count("*").alias("tf"))
+    words = docs.select("fact_id", "block", "findable", texts.tokens(F.col("text")).alias("terms"))
+    index = words.where("findable").select("fact_id", "block", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("fact_id", "block", "length", "term").agg(F.count("*").alias("tf"))
     totals = words.agg(F.count("*").alias("all"), F.avg(F.size("terms")).alias("mean"))
-    rarity = index.groupBy("term").agg(F.count("*").alias("n"))
+    rarity = words.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     wanted = asked.select(F.col("fact_id").alias("query"), "block", F.explode(texts.query_tokens(F.col("text"))).alias("term"))
     hits = wanted.join(index, ["block", "term"]).join(rarity, "term").join(F.broadcast(totals))  # one row
     idf = F.greatest(F.lit(1e-6), F.log((F.col("all") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
@@ -116,7 +116,7 @@ def _lexical(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
 def _semantic(docs: DataFrame, asked: DataFrame) -> DataFrame:
     wanted = asked.select(F.col("fact_id").alias("query"), "block", F.col("v").alias("q"))
-    return wanted.join(docs.select("fact_id", "block", "v"), "block").select("query", "fact_id", dot(F.col("q"), F.col("v")).alias("score"))
+    return wanted.join(docs.where("findable").select("fact_id", "block", "v"), "block").select("query", "fact_id", dot(F.col("q"), F.col("v")).alias("score"))
 
 
 def _ranked(hits: DataFrame, most: int) -> DataFrame:
@@ -152,14 +152,15 @@ def _fused(lexical: DataFrame, semantic: DataFrame, k: int, knobs: Knobs) -> Dat
     return both.withColumn("hybrid", hybrid).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
 
 
-def adaptive_search(claims: DataFrame, new: DataFrame | None = None, knobs: Knobs = Knobs(), embedder: Embedder | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def adaptive_search(claims: DataFrame, new: DataFrame | None = None, knobs: Knobs = Knobs(), embedder: Embedder | None = None, known: DataFrame | None = None, where: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(candidates, terminations) of the claims of `new` (all, if not given) among `claims`.
 
     Candidates have query, fact_id, hybrid, nth, status and blocking_reason: ids that `known` (the authoritative claims; `claims`, if not given) lacks, or has in another
-    block, are blocked. Terminations have query, k, rounds, expansions, retrieved, unblocked, reason and bounded (whether the ladder ended the search).
+    block, are blocked. Only claims for which `where` holds may be found; they count in the statistics all the same. Terminations have query, k, rounds, expansions, retrieved, unblocked, reason and bounded (whether the ladder ended the search).
     """
     block = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in BLOCK], F.lit("block"))
-    docs = claims.select("fact_id", block.alias("block"), texts.retrieval_text().alias("text"))
+    findable = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    docs = claims.select("fact_id", block.alias("block"), findable.alias("findable"), texts.retrieval_text().alias("text"))
     docs = saved(docs.select("*", unit((embedder or HashingEmbedder()).embed(F.col("text"))).alias("v")))
     asked = docs if new is None else docs.join(new.select("fact_id"), "fact_id", "left_semi")
     truth = docs if known is None else known.select("fact_id", block.alias("block"))

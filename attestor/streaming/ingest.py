@@ -9,6 +9,8 @@ folder is named after the batch and overwritten.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
@@ -19,10 +21,10 @@ STAGES = ["queued", "parsing", "extracting", "resolving", "adjudicating", "stori
 
 
 class IncrementalStore:
-    """Claims and relations by batch below a folder."""
+    """Claims and relations by batch below a folder; `on_stage` hears what a batch does as it begins to do it."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, on_stage: Callable[[str], None] | None = None):
+        self.spark, self.root, self.on_stage = spark, root, on_stage or (lambda stage: None)
 
     def read(self, table: str, schema=None, before: int | None = None) -> DataFrame | None:
         """All rows of a table, or those of batches before one; null if there are none."""
@@ -38,6 +40,7 @@ class IncrementalStore:
 
     def ingest(self, claims: DataFrame, batch: int) -> None:
         """One micro-batch: new claims only, then pairs of new with new and new with old."""
+        self.on_stage("resolving")
         old = self.read("claims", before=batch)
         claims = claims.dropDuplicates(["fact_id"])
         if old is not None:
@@ -45,9 +48,12 @@ class IncrementalStore:
             claims = claims.join(old.select("fact_id"), "fact_id", "left_anti")
         claims = claims.persist()
         known = claims.limit(0) if old is None else old.select(*claims.columns)
+        self.on_stage("adjudicating")
         self.append("relations", pairs.relations(pairs.delta_pairs(claims, known)), batch)
+        self.on_stage("storing")
         self.append("claims", claims, batch)
         claims.unpersist()
+        self.on_stage("completed")
 
 
 def start(source: DataFrame, store: IncrementalStore, checkpoint: str):

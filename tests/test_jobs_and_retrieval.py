@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestor.operators import adaptive
-from attestor.streaming import jobs
+from attestor.streaming import ingest, jobs
 
 from .test_operators import CLAIM, claim
 
@@ -102,6 +102,21 @@ def test_queries_stop_for_a_reason(spark):
     assert "sufficient_candidates" in {r["reason"] for r in ends.collect()}
 
 
+def test_a_filter_says_what_may_be_found(spark):
+    rows = claims_of(spark, 30)
+    found, ends = adaptive.adaptive_search(rows, knobs=adaptive.Knobs(k_ladder=(100,)), where=F.col("seq") < 10)
+    of = {r["fact_id"]: r["subject"] for r in rows.collect()}
+    assert {(r["query"], r["fact_id"]) for r in found.collect()} == {(q, f"f{i}") for q in of for i in range(10) if of[q] == of[f"f{i}"] and q != f"f{i}"}
+    assert ends.count() == 30
+
+
+def test_an_ingest_tells_its_stages(spark, tmp_path):
+    heard = []
+    store = ingest.IncrementalStore(spark, f"file://{tmp_path}/s", heard.append)
+    store.ingest(claims_of(spark, 6), 0)
+    assert heard == ["resolving", "adjudicating", "storing", "completed"] and set(heard) <= set(jobs.STAGES)
+
+
 def test_knobs_are_read_from_text():
     assert adaptive.Knobs.parsed({}) == adaptive.Knobs()
     got = adaptive.Knobs.parsed({"RETRIEVAL_K_LADDER": "50, 10,,10", "RETRIEVAL_TOP_K": "x", "RETRIEVAL_ENABLED": "On", "RETRIEVAL_MIN_UNBLOCKED": "7", "EMBEDDING_MODE": " REPLAY ", "RETRIEVAL_SATURATION_RATIO": ".5", "RETRIEVAL_ADAPTIVE": "no"})
