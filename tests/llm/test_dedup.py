@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from attestor.llm import chaining, near_dedup, substring_dedup
@@ -244,6 +245,44 @@ def test_recall_of_edited_passages(spark, share, least):
     assert len(got & right) >= least * n and got <= right
 
 
+@pytest.mark.parametrize("length, share, least", [(60, 0.05, 0.95), (60, 0.1, 0.9), (60, 0.2, 0.8), (100, 0.2, 0.95)])
+def test_recall_of_edited_passages_where_others_hold_bits(spark, length, share, least):
+    n, bit, texts = 60, 28, {}
+    for i in range(n):
+        passage = prose(length, 30000 + i)
+        words = passage.split()
+        texts[10000 + i] = f"{prose(40, i)} {passage} {prose(40, i + 400)}"
+        texts[20000 + i] = f"{prose(40, i + 800)} {edited(passage, round(length * share), i)} {prose(40, i + 1200)}"
+        # overlapping bits in smaller documents, one in a document between the two, one in a larger one
+        for k, at in enumerate(range(0, length - bit + 1, 14)):
+            texts[i * 20 + k] = f"{prose(30, 50000 + i * 20 + k)} {' '.join(words[at : at + bit])} {prose(30, 70000 + i * 20 + k)}"
+        texts[15000 + i] = f"{prose(30, 90000 + i)} {' '.join(words[9 : 9 + bit])} {prose(30, 91000 + i)}"
+        texts[25000 + i] = f"{prose(30, 92000 + i)} {' '.join(words[20 : 20 + bit])} {prose(30, 93000 + i)}"
+    got = {(r["doc_id"], r["other_doc_id"]) for r in chaining.fuzzy_passages(documents(spark, texts)).collect()}
+    right = {(20000 + i, 10000 + i) for i in range(n)}
+    print("recall with bits", length, share, len(got & right) / n)
+    assert len(got & right) >= least * n and got <= right
+
+
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_neighbours_go_on_over_batches(rows):
+    held = [(1, 1, 0), (1, 1, 9), (1, 2, 0), (1, 2, 4), (1, 2, 8), (1, 3, 0), (1, 4, 0), (1, 5, 5), (2, 5, 0), (3, 1, 0), (3, 9, 0)]
+    table = pa.table({"h": pa.array([h for h, _, _ in held], pa.int64()), "doc_id": [d for _, d, _ in held], "at": [a for _, _, a in held]})
+    got = sorted((r["doc_id"], r["at"], r["other_id"], r["other_at"]) for b in chaining._neighbours(iter(table.to_batches(max_chunksize=rows))) for r in b.to_pylist())
+    want = []
+    for h, doc, at in held:
+        before = sorted({d for g, d, _ in held if g == h and d < doc})[-chaining.NEIGHBOURS :]
+        want += [(doc, at, d, min(a for g, e, a in held if (g, e) == (h, d))) for d in before]
+    assert got == sorted(want)
+
+
+def test_open_seeds_lie_in_no_passage():
+    rows = [(None, "a", 10, 60), (None, "a", 40, 100), (1, "a", 10, None), (2, "a", 9, None), (3, "a", 57, None), (4, "a", 96, None), (5, "b", 20, None), (None, "c", 0, 90), (6, "c", 1, None)]
+    table = pa.table({"h": pa.array([r[0] for r in rows], pa.int64()), "doc_id": [r[1] for r in rows], "at": [r[2] for r in rows], "end": [r[3] for r in rows]})
+    got = [r["h"] for b in chaining._open_seeds(iter(table.to_batches())) for r in b.to_pylist()]
+    assert got == [2, 4, 5]
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_chain_matches_quadratic_scoring(seed):
     rng = np.random.default_rng(seed)
