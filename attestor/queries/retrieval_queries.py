@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as texts
-from ..operators import adaptive, retrieval
+from ..operators import adaptive, retrieval, tiles
 from ..sources.claims import CLAIMS_SQL, claims, table
 from .pair_queries import RELATIONS_SQL
 
@@ -22,74 +22,99 @@ def _queries(spark, sf_dir):
     return _vectors(spark, sf_dir).where("vec_id % 20 = 0")
 
 
-def _semantic(spark, sf_dir):
-    return retrieval.cosine(_vectors(spark, sf_dir), _queries(spark, sf_dir), "vec_id", "label", "embedding")
+def _index(spark, sf_dir):
+    return _vectors(spark, sf_dir).select("vec_id", "label", F.col("embedding").alias("v"))
 
 
-def _all_semantic(spark, sf_dir):
-    return retrieval.cosine(_vectors(spark, sf_dir), _vectors(spark, sf_dir), "vec_id", "label", "embedding")
+def _asked(spark, sf_dir, everything: bool = False):
+    rows = _vectors(spark, sf_dir) if everything else _queries(spark, sf_dir)
+    return rows.select(F.col("vec_id").alias("query"), "label", F.col("embedding").alias("v"))
 
 
-def _lexical(spark, sf_dir) -> DataFrame:
-    """Each query vector's document asks, with all its words, for the documents that share any."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    vectors = _vectors(spark, sf_dir).select("vec_id", "label")
-    index = retrieval.postings(docs.join(vectors.select("vec_id"), "vec_id", "left_semi"), "vec_id", "text")
-    asked = docs.join(_queries(spark, sf_dir).select("vec_id"), "vec_id", "left_semi")
-    asked = asked.select(F.col("vec_id").alias("query"), F.explode(F.array_distinct(texts.tokens(F.col("text")))).alias("term"))
-    hits = retrieval.bm25(index, asked, "vec_id")
-    blocks = vectors.withColumnRenamed("label", "query_label").withColumnRenamed("vec_id", "query")
-    hits = hits.join(vectors, "vec_id").join(blocks, "query").where("label = query_label and query <> vec_id")
-    return hits.select("query", "vec_id", F.round("score", 6).alias("score"))
+def _best_semantic(spark, sf_dir, k, everything: bool = False):
+    """Rows that hold the k nearest of each query."""
+    return tiles.best(_index(spark, sf_dir), _asked(spark, sf_dir, everything), "vec_id", "label", "semantic", k)
+
+
+def _both(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Rows and queries with vectors and terms: each query vector's document asks, with all its words, for the documents that share any."""
+    index, asked = _index(spark, sf_dir), _asked(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text").join(index.select("vec_id"), "vec_id", "left_semi")
+    weighted, wanted = retrieval.weighted_terms(docs, _queries(spark, sf_dir), "vec_id", "text")
+    return index.join(weighted, "vec_id", "left"), asked.join(wanted, "query", "left")
+
+
+CHANNELS = ("lexical", "semantic")
 
 
 def t01_cosine_topk(spark, sf_dir):
-    return retrieval.top(_semantic(spark, sf_dir), "vec_id", 10).select("query", "vec_id", "score", "rank")
+    return retrieval.top(_best_semantic(spark, sf_dir, 10), "vec_id", 10).select("query", "vec_id", "score", "rank")
 
 
 def t02_bm25_topk(spark, sf_dir):
-    return retrieval.top(_lexical(spark, sf_dir), "vec_id", 10).select("query", "vec_id", "score", "rank")
+    index, asked = (df.drop("v") for df in _both(spark, sf_dir))
+    return retrieval.top(tiles.best(index, asked, "vec_id", "label", "lexical", 10), "vec_id", 10).select("query", "vec_id", "score", "rank")
 
 
 def w01_channel_rank(spark, sf_dir):
-    return retrieval.ranked(_semantic(spark, sf_dir), "vec_id").select("query", "vec_id", "rank")
+    hits = tiles.pairs(_index(spark, sf_dir), _asked(spark, sf_dir), "vec_id", "label", ("semantic",))
+    return retrieval.ranked(hits.select("query", "vec_id", "semantic"), "vec_id", "semantic").select("query", "vec_id", "rank")
 
 
 def w02_minmax(spark, sf_dir):
-    return retrieval.min_max(_semantic(spark, sf_dir)).select("query", "vec_id", F.round("normal", 5).alias("normal"))
+    hits = tiles.normal_pairs(_index(spark, sf_dir), _asked(spark, sf_dir), "vec_id", "label", ("semantic",))
+    return hits.select("query", "vec_id", F.round("semantic", 5).alias("normal"))
+
+
+def _fused(spark, sf_dir, k=None, config=retrieval.RetrievalConfig()):
+    """Both channels of every pair of a block, or of pairs that hold the k best of each query."""
+    return tiles.normal_pairs(*_both(spark, sf_dir), "vec_id", "label", CHANNELS, (config.lexical_weight, config.semantic_weight), k)
+
+
+def _hybrid_ranks(spark, sf_dir, k):
+    """The k best of each query by both channels; scores that differ after the sixth digit tie."""
+    return retrieval.top(_fused(spark, sf_dir, k).withColumn("score", F.round("hybrid", 6)), "vec_id", k)
 
 
 def j05_fusion(spark, sf_dir):
-    fused = retrieval.fuse(_lexical(spark, sf_dir), _semantic(spark, sf_dir), "vec_id")
-    return fused.select("query", "vec_id", F.round("lexical", 4).alias("lexical"), F.round("semantic", 4).alias("semantic"))
+    return _fused(spark, sf_dir).select("query", "vec_id", F.round("lexical", 4).alias("lexical"), F.round("semantic", 4).alias("semantic"))
 
 
 def w03_hybrid(spark, sf_dir):
-    fused = retrieval.fuse(_lexical(spark, sf_dir), _semantic(spark, sf_dir), "vec_id")
-    return fused.where("rank <= 5").select("query", "vec_id", F.round("hybrid", 4).alias("hybrid"))
+    return _hybrid_ranks(spark, sf_dir, 5).select("query", "vec_id", F.round("hybrid", 4).alias("hybrid"))
 
 
 def w04_adaptive_ladder(spark, sf_dir):
-    counts = _all_semantic(spark, sf_dir).groupBy("query").agg(F.count("*").alias("n"))
+    v = _vectors(spark, sf_dir).select(F.col("vec_id").alias("query"), "label")
+    # all rows of the block but the query's own
+    counts = v.join(v.groupBy("label").agg(F.count("*").alias("n")), "label").join(v.groupBy("label", "query").agg(F.count("*").alias("own")), ["label", "query"])
+    counts = counts.groupBy("query").agg(F.sum(F.col("n") - F.col("own")).alias("n")).where("n > 0")
     rung, rounds, reason = retrieval.ladder(F.col("n"))
     return counts.select("query", "n", rung.alias("rung"), rounds.alias("rounds"), reason.alias("reason"))
 
 
+def _surfaced(spark, sf_dir):
+    return retrieval.candidate_pairs(_best_semantic(spark, sf_dir, 10, everything=True), "vec_id", 10).select("one", "other")
+
+
 def j03_candidate_pairs(spark, sf_dir):
-    return retrieval.candidate_pairs(_all_semantic(spark, sf_dir), "vec_id", 10).select("one", "other")
+    return _surfaced(spark, sf_dir)
 
 
 def j06_annotate(spark, sf_dir):
-    hits = retrieval.top(_semantic(spark, sf_dir), "vec_id", 10)
+    hits = retrieval.top(_best_semantic(spark, sf_dir, 10), "vec_id", 10)
     known = _vectors(spark, sf_dir).where("vec_id % 7 <> 0").withColumn("label", F.when(F.col("vec_id") % 5 == 0, F.col("label") + 1).otherwise(F.col("label")))
     return retrieval.annotate(hits, known, "vec_id", "label").groupBy("query", "status", "reason").agg(F.count("*").alias("n"))
 
 
+def _known(spark, sf_dir):
+    """Vectors of one label whose ids differ by less than 30."""
+    return retrieval.near_ids(_vectors(spark, sf_dir).select("vec_id", "label"), "vec_id", "label", 30)
+
+
 def a15_recall_at_k(spark, sf_dir):
-    """Known pairs: vectors of one label whose ids differ by less than 30."""
-    v = _vectors(spark, sf_dir).select("vec_id", "label")
-    known = v.withColumnRenamed("vec_id", "one").join(v.withColumnRenamed("vec_id", "other"), "label").where("one < other and other < one + 30").select("one", "other")
-    return retrieval.recall_at(known, _all_semantic(spark, sf_dir), "vec_id")
+    """Known pairs: vectors of one label whose ids differ by less than 30. A rank over the largest level counts as none, so no further ranks are needed."""
+    return retrieval.recall_at(_known(spark, sf_dir), retrieval.top(_best_semantic(spark, sf_dir, 100, everything=True), "vec_id", 100), "vec_id")
 
 
 def a21_index_stats(spark, sf_dir):
@@ -97,17 +122,17 @@ def a21_index_stats(spark, sf_dir):
 
 
 def a22_candidate_funnel(spark, sf_dir):
-    lexical, semantic = _lexical(spark, sf_dir), _semantic(spark, sf_dir)
-    return retrieval.funnel(lexical, semantic, retrieval.fuse(lexical, semantic, "vec_id"), 10)
+    return retrieval.funnel_counts(tiles.extents(*_both(spark, sf_dir), "vec_id", "label", CHANNELS), 10)
 
 
 def a14_diagnostics(spark, sf_dir):
-    return _all_semantic(spark, sf_dir).groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+    found = tiles.extents(_index(spark, sf_dir), _asked(spark, sf_dir, everything=True), "vec_id", "label", ("semantic",))
+    return found.select("query", "n", F.col("semantic_low").alias("low"), F.col("semantic_high").alias("high"))
 
 
 def p16_metadata_filter(spark, sf_dir):
     """The filter is the feature: only rows whose label is at most 3 may be found."""
-    hits = retrieval.cosine(_vectors(spark, sf_dir).where("label <= 3"), _queries(spark, sf_dir), "vec_id", "label", "embedding")
+    hits = tiles.best(_index(spark, sf_dir).where("label <= 3"), _asked(spark, sf_dir), "vec_id", "label", "semantic", 5)
     return retrieval.top(hits, "vec_id", 5).select("query", "vec_id", "rank")
 
 
