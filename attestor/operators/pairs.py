@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys, numbers, periods
+from ..sources.scratch import saved
 
 FORECASTS = ("estimated", "projected")
 #: Reasons whose pairs may still be explained by context.
@@ -67,6 +68,14 @@ def cluster_pairs(claims: DataFrame) -> DataFrame:
     return pairs.where((_a("seq") < _b("seq")) & ~same_page())
 
 
+def touching_pairs(claims: DataFrame, some: Column) -> DataFrame:
+    """The pairs of `cluster_pairs` that hold a claim for which `some` is true; no other pair is formed."""
+    mine, others = claims.where(some), claims.where(~F.coalesce(some, F.lit(False)))
+    one = prefixed(mine, "a_").join(prefixed(claims, "b_"), ["subject", "measure"])
+    two = prefixed(others, "a_").join(prefixed(mine, "b_"), ["subject", "measure"])
+    return one.unionByName(two).where((_a("seq") < _b("seq")) & ~same_page())
+
+
 def delta_pairs(new: DataFrame, old: DataFrame) -> DataFrame:
     """Pairs that hold a new claim: new with new (earlier first) and new with old (new first); never old with old."""
     everything = new.withColumn("is_new", F.lit(True)).unionByName(old.withColumn("is_new", F.lit(False)))
@@ -218,6 +227,46 @@ def blocking(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("blocking_reason", F.nullif(reason, F.lit(""))).withColumn("candidate", F.col("blocking_reason").isNull())
 
 
+def blocking_counts(claims: DataFrame, on: list[str]) -> DataFrame:
+    """(candidate, blocking_reason, n): what `blocking` says of all pairs of claims that agree in `on`, from counts of groups instead of pairs.
+
+    Pairs that differ first in a key are those that agree in all keys before it, less those that agree in it as well. Only pairs with a claim that
+    lacks a key, and those of one `seq`, which count as none, are looked at one by one.
+    """
+    reasons = {"SUBJECT": "subject", "MEASURE": "measure", "VALUE_KIND": "value_kind"}
+    columns = list(reasons.values())
+    rows = saved(claims.select(*on, *columns, "seq"))
+    stated = F.lit(True)
+    for c in columns:
+        stated = stated & F.col(c).isNotNull()
+    for c in (*on, "seq"):
+        rows = rows.where(F.col(c).isNotNull())
+    whole, lacking = rows.where(stated), rows.where(~stated)
+    counts, grouped = [], whole.groupBy(*on, *columns).agg(F.count("*").alias("n"))
+    for i in reversed(range(len(columns) + 1)):
+        same = grouped.groupBy(*on, *columns[:i]).agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")), F.lit(0)).alias("n"))
+        # those that agree in the first i keys: of the reason of the next key, less of that of the last one
+        counts.append(same.select(F.lit([*reasons, None][i]).cast("string").alias("blocking_reason"), "n"))
+        if i:
+            counts.append(same.select(F.lit([*reasons][i - 1]).alias("blocking_reason"), (-F.col("n")).alias("n")))
+
+    def looked_at(a: DataFrame, b: DataFrame, which: Column, sign: int, *more: str) -> DataFrame:
+        held = (*on, *more)
+        found = blocking(prefixed(a, "a_", held).join(prefixed(b, "b_", held), [*held]).where(which))
+        return found.groupBy("blocking_reason").agg((F.lit(sign) * F.count("*")).alias("n"))
+
+    apart = F.col("a_seq") != F.col("b_seq")
+    counts += [looked_at(lacking, whole, apart, 1), looked_at(lacking, lacking, F.col("a_seq") < F.col("b_seq"), 1)]
+    again = whole.join(whole.groupBy("seq").agg(F.count("*").alias("n")).where("n > 1").select("seq"), "seq", "left_semi").withColumn("__i", F.monotonically_increasing_id())
+    again = saved(again)
+    counts.append(looked_at(again, again, F.col("a___i") < F.col("b___i"), -1, "seq"))
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    out = out.groupBy("blocking_reason").agg(F.sum("n").alias("n")).where("n > 0")
+    return out.select(F.col("blocking_reason").isNull().alias("candidate"), "blocking_reason", "n")
+
+
 # --- every objection of a pair, not only the first ------------------------------------------------
 
 DIMENSION_OF = {

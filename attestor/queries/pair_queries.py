@@ -90,15 +90,8 @@ def r11_confidence_label(spark, sf_dir):
 
 
 def p04_blocking(spark, sf_dir):
-    return pairs.blocking(_pairs_all(spark, sf_dir)).groupBy("candidate", "blocking_reason").agg(F.count("*").alias("n"))
-
-
-def _pairs_all(spark, sf_dir):
     """Pairs of one document and page, of whatever subject."""
-    rows = claims(spark, sf_dir)
-    a = pairs.prefixed(rows, "a_", ("doc_id", "page"))
-    b = pairs.prefixed(rows, "b_", ("doc_id", "page"))
-    return a.join(b, ["doc_id", "page"]).where("a_seq < b_seq")
+    return pairs.blocking_counts(claims(spark, sf_dir), ["doc_id", "page"])
 
 
 def p15_qualifier_diff(spark, sf_dir):
