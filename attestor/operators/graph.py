@@ -6,7 +6,9 @@ loop of at most `MAX_DEPTH` joins from the frontier to the edges; only counts re
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_DEPTH, MAX_NODES, MAX_FANOUT = 4, 150, 25
@@ -29,25 +31,46 @@ def edges(claims: DataFrame, evidence: DataFrame, relations: DataFrame) -> DataF
     return has.unionByName(supported).unionByName(located).unionByName(related)
 
 
+def edges_near(claims: DataFrame, evidence: DataFrame, relate: Callable[[DataFrame], DataFrame], nodes: DataFrame) -> DataFrame:
+    """Edges that hold all those of some nodes (at most a traversal's bound): no other cluster than theirs forms relations.
+
+    `relate` gives the relations among claims; a relation lies within a cluster (subject, measure).
+    """
+    part = lambda kind, pattern: nodes.where(F.col("node").startswith(f"{kind}:")).select(F.regexp_extract("node", f"(?s)^{kind}:{pattern}$", 1).alias("k")).distinct()
+    among = lambda rows, key, keys: rows.join(F.broadcast(keys.withColumnRenamed("k", key)), key, "left_semi").select(*rows.columns)
+    facts = part("fact", "(.*)").union(part("evidence", "(.*)#[^#]*")).distinct()
+    mine = among(claims, "fact_id", part("fact", "(.*)"))
+    # as many clusters as nodes at most
+    clusters = claims.join(F.broadcast(mine.select("subject", "measure").distinct()), ["subject", "measure"], "left_semi").select(*claims.columns)
+    held = mine.unionByName(among(claims, "subject", part("entity", "(.*)")))
+    return edges(held, among(evidence, "fact_id", facts).unionByName(among(evidence, "doc_id", part("document", "(.*)"))), relate(clusters))
+
+
 def both_ways(graph: DataFrame) -> DataFrame:
     return graph.select(F.col("source").alias("at"), F.col("target").alias("to")).union(graph.select("target", "source"))
 
 
-def neighborhood(graph: DataFrame, root: str, depth: int, max_nodes: int = MAX_NODES, max_fanout: int = MAX_FANOUT) -> DataFrame:
+def neighborhood(graph: DataFrame | Callable[[DataFrame], DataFrame], root: str, depth: int, max_nodes: int = MAX_NODES, max_fanout: int = MAX_FANOUT, spark: SparkSession | None = None) -> DataFrame:
     """(node, depth, truncated): what can be reached from `root` in `depth` steps.
 
     Each node leads to its first `max_fanout` neighbours by id; nodes are taken in the order of
     (depth, id) until there are `max_nodes`. `truncated` says whether either bound cut something. Empty for an unknown root.
+    `graph` is all edges, or (with `spark`) a function that gives those of some nodes (node), and maybe others.
     """
-    spark = graph.sparkSession
-    # every level reads the edges, whose relations come from a large join
-    steps = both_ways(graph).persist()
+    spark = spark or graph.sparkSession
+    near = graph if callable(graph) else lambda nodes: graph
+    start = spark.createDataFrame([(root,)], "node string")
+    # a level reads its edges several times, whose relations come from a large join
+    steps = both_ways(near(start)).persist()
     known = steps.where(F.col("at") == root).limit(1).count()
     found = spark.createDataFrame([(root, 0)] if known else [], "node string, depth int")
     frontier, total, cut = found, 1, False
     for level in range(1, min(depth, MAX_DEPTH) + 1):
         if not known or total >= max_nodes:
             break
+        if level > 1 and callable(graph):
+            steps.unpersist()
+            steps = both_ways(near(frontier.select("node"))).persist()
         # the frontier has at most max_nodes rows
         reached = steps.join(F.broadcast(frontier.select(F.col("node").alias("at"))), "at").distinct()
         order = F.row_number().over(Window.partitionBy("at").orderBy("to"))
@@ -71,14 +94,14 @@ def present_edges(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     return graph.join(ids.withColumnRenamed("node", "source"), "source", "left_semi").join(ids.withColumnRenamed("node", "target"), "target", "left_semi").distinct()
 
 
-def fact_lineage(graph: DataFrame, fact_id: str) -> DataFrame:
-    return neighborhood(graph, f"fact:{fact_id}", 1, 60)
+def fact_lineage(graph: DataFrame | Callable[[DataFrame], DataFrame], fact_id: str, spark: SparkSession | None = None) -> DataFrame:
+    return neighborhood(graph, f"fact:{fact_id}", 1, 60, spark=spark)
 
 
-def relation_lineage(graph: DataFrame, source_id: str, target_id: str) -> DataFrame:
+def relation_lineage(graph: DataFrame | Callable[[DataFrame], DataFrame], source_id: str, target_id: str, spark: SparkSession | None = None) -> DataFrame:
     """Both ends' lineages as one; a node in both belongs to the first."""
-    one = fact_lineage(graph, source_id).withColumn("branch", F.lit(1))
-    two = fact_lineage(graph, target_id).withColumn("branch", F.lit(2))
+    one = fact_lineage(graph, source_id, spark).withColumn("branch", F.lit(1))
+    two = fact_lineage(graph, target_id, spark).withColumn("branch", F.lit(2))
     first = F.row_number().over(Window.partitionBy("node").orderBy("branch"))
     return one.unionByName(two).withColumn("nth", first).where("nth = 1").drop("nth")
 

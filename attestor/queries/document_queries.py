@@ -11,11 +11,26 @@ from ..sources.claims import CLAIMS_SQL, claims, table
 from .pair_queries import RELATIONS_SQL
 
 
-def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _evidenced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Claims, and their evidence: each line of an order."""
     rows = claims(spark, sf_dir)
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("seq"), (F.col("l_linenumber") - 1).alias("nth"))
-    evidence = rows.select("seq", "fact_id", "doc_id").join(lines, "seq")
-    return graph.edges(rows, evidence, pairs.relations(pairs.cluster_pairs(rows)))
+    return rows, rows.select("seq", "fact_id", "doc_id").join(lines, "seq")
+
+
+def _related(rows: DataFrame) -> DataFrame:
+    return pairs.relations(pairs.cluster_pairs(rows))
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, evidence = _evidenced(spark, sf_dir)
+    return graph.edges(rows, evidence, _related(rows))
+
+
+def _near(spark: SparkSession, sf_dir: str):
+    """The same graph by nodes."""
+    rows, evidence = _evidenced(spark, sf_dir)
+    return lambda nodes: graph.edges_near(rows, evidence, _related, nodes)
 
 
 def _root(spark, sf_dir) -> str:
@@ -24,31 +39,33 @@ def _root(spark, sf_dir) -> str:
 
 
 def g01_neighborhood(spark, sf_dir):
-    return graph.neighborhood(_graph(spark, sf_dir), f"entity:{_root(spark, sf_dir)}", 2, 10_000, 1000).select("node", "depth")
+    return graph.neighborhood(_near(spark, sf_dir), f"entity:{_root(spark, sf_dir)}", 2, 10_000, 1000, spark).select("node", "depth")
 
 
 def g01_bounded(spark, sf_dir):
-    return graph.neighborhood(_graph(spark, sf_dir), f"entity:{_root(spark, sf_dir)}", 1, 6, 25)
+    return graph.neighborhood(_near(spark, sf_dir), f"entity:{_root(spark, sf_dir)}", 1, 6, 25, spark)
 
 
 def g04_present_edges(spark, sf_dir):
-    g = _graph(spark, sf_dir)
-    nodes = graph.neighborhood(g, f"entity:{_root(spark, sf_dir)}", 1, 10_000, 1000)
-    return graph.present_edges(g, nodes).select("source", "target", "type")
+    near = _near(spark, sf_dir)
+    nodes = graph.neighborhood(near, f"entity:{_root(spark, sf_dir)}", 1, 10_000, 1000, spark)
+    return graph.present_edges(near(nodes.select("node")), nodes).select("source", "target", "type")
 
 
 def _first_relation(spark, sf_dir):
-    return pairs.relations(pairs.cluster_pairs(claims(spark, sf_dir))).orderBy("relation_id").first()
+    """The relation with the least id; only ids and ends are compared, none is sorted."""
+    rows = _related(claims(spark, sf_dir)).select("relation_id", "source_id", "target_id")
+    return rows.agg(F.min(F.struct(*rows.columns)).alias("r")).select("r.*").first()
 
 
 def g06_fact_lineage(spark, sf_dir):
     r = _first_relation(spark, sf_dir)
-    return graph.fact_lineage(_graph(spark, sf_dir), r["source_id"]).where("depth <= 1").select("node", "depth")
+    return graph.fact_lineage(_near(spark, sf_dir), r["source_id"], spark).where("depth <= 1").select("node", "depth")
 
 
 def g07_relation_lineage(spark, sf_dir):
     r = _first_relation(spark, sf_dir)
-    return graph.relation_lineage(_graph(spark, sf_dir), r["source_id"], r["target_id"]).select("node", "depth", "branch")
+    return graph.relation_lineage(_near(spark, sf_dir), r["source_id"], r["target_id"], spark).select("node", "depth", "branch")
 
 
 def g09_edge_types(spark, sf_dir):
