@@ -12,16 +12,23 @@ import os
 from dataclasses import dataclass, replace
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import text as texts
 from ..functions.numbers import let
 from ..sources.scratch import saved
-from . import pairs
+from . import pairs, tiles
 from .retrieval import K1, B, dot
 
 BLOCK = ("subject", "measure", "value_kind")
+# Scores of a channel that are held at once.
+CELLS = 1 << 21
 
 # Why a query stops and why it goes on.
 SUFFICIENT, NO_FURTHER, BUDGET, NONE = "sufficient_candidates", "no_further_candidates", "budget_exhausted", "no_candidates_found"
@@ -101,22 +108,18 @@ def unit(vector: Column) -> Column:
     return let(vector, scaled)
 
 
-def _lexical(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query, fact_id, score) of every claim of the query's block that shares a word with it, label words aside. Statistics are those of the whole index."""
-    words = docs.select("fact_id", "block", "findable", texts.tokens(F.col("text")).alias("terms"))
-    index = words.where("findable").select("fact_id", "block", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("fact_id", "block", "length", "term").agg(F.count("*").alias("tf"))
+def _weighted(docs: DataFrame) -> DataFrame:
+    """(fact_id, terms, weights) of every claim: the BM25 weight of each of its words, with the statistics of the whole index."""
+    words = docs.select("fact_id", texts.tokens(F.col("text")).alias("terms"))
     totals = words.agg(F.count("*").alias("all"), F.avg(F.size("terms")).alias("mean"))
     rarity = words.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    wanted = asked.select(F.col("fact_id").alias("query"), "block", F.explode(texts.query_tokens(F.col("text"))).alias("term"))
-    hits = wanted.join(index, ["block", "term"]).join(rarity, "term").join(F.broadcast(totals))  # one row
+    tf = lambda t: F.size(F.filter("terms", lambda x: x == t))
+    each = words.select("fact_id", F.size("terms").alias("length"), F.explode(F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), tf(t).alias("tf")))).alias("t"))
+    hits = each.select("fact_id", "length", "t.*").join(rarity, "term").join(F.broadcast(totals))  # one row
     idf = F.greatest(F.lit(1e-6), F.log((F.col("all") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return hits.groupBy("query", "fact_id").agg(F.sum(weight).alias("score"))
-
-
-def _semantic(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    wanted = asked.select(F.col("fact_id").alias("query"), "block", F.col("v").alias("q"))
-    return wanted.join(docs.where("findable").select("fact_id", "block", "v"), "block").select("query", "fact_id", dot(F.col("q"), F.col("v")).alias("score"))
+    rows = hits.groupBy("fact_id").agg(F.collect_list(F.struct("term", weight.alias("weight"))).alias("t"))  # as many as a claim has
+    return rows.select("fact_id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
 
 
 def _ranked(hits: DataFrame, most: int) -> DataFrame:
@@ -152,41 +155,187 @@ def _fused(lexical: DataFrame, semantic: DataFrame, k: int, knobs: Knobs) -> Dat
     return both.withColumn("hybrid", hybrid).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
 
 
-def adaptive_search(claims: DataFrame, new: DataFrame | None = None, knobs: Knobs = Knobs(), embedder: Embedder | None = None, known: DataFrame | None = None, where: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(candidates, terminations) of the claims of `new` (all, if not given) among `claims`.
-
-    Candidates have query, fact_id, hybrid, nth, status and blocking_reason: ids that `known` (the authoritative claims; `claims`, if not given) lacks, or has in another
-    block, are blocked. Only claims for which `where` holds may be found; they count in the statistics all the same. Terminations have query, k, rounds, expansions, retrieved, unblocked, reason and bounded (whether the ladder ended the search).
-    """
+def _rung(lexical: tiles.Scores, semantic: tiles.Scores, own: np.ndarray, k: int, knobs: Knobs) -> tuple[np.ndarray, np.ndarray]:
+    """`_fused` on matrices: a mask of the k best of each query, and the hybrid scores."""
+    found, hybrid = np.zeros_like(own), np.zeros(own.shape)
+    for scores, weight in ((lexical, knobs.lexical_weight), (semantic, knobs.semantic_weight)):
+        order = scores.values if scores.null is None else np.where(scores.null, tiles.NO_PAIR, scores.values)
+        mask = tiles._best(order, k + 1) & ~own
+        low, high = (f(np.where(mask, scores.values, empty), axis=1, keepdims=True, initial=empty) for f, empty in ((np.min, np.inf), (np.max, -np.inf)))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            hybrid += np.where(mask, weight * np.where(low == high, 1.0, (scores.values - low) / (high - low)), 0.0)
+        found |= mask
+    return tiles._best(np.where(found, np.floor(hybrid * 1e6 + 0.5) / 1e6, tiles.NO_PAIR), k), hybrid
+
+
+def _climbed(lexical: tiles.Scores, semantic: tiles.Scores, own: np.ndarray, unblocked: np.ndarray, knobs: Knobs) -> tuple[np.ndarray, ...]:
+    """The ladder of some queries over all rows of their block: mask of candidates, hybrid scores, rounds, and reason."""
+    rungs, n = knobs.rungs(), len(own)
+    mask, hybrid, rounds, reasons = np.zeros_like(own), np.zeros(own.shape), np.zeros(n, int), np.full(n, NONE, object)
+    left, part = np.arange(n), lambda s, at: tiles.Scores(s.values[at], None if s.null is None else s.null[at])
+    for r, k in enumerate(rungs):
+        got, score = _rung(part(lexical, left), part(semantic, left), own[left], k, knobs)
+        size, free = got.sum(axis=1), (got & unblocked).sum(axis=1)
+        few, full = free < knobs.min_unblocked, free >= knobs.saturation_ratio * size
+        more = (size >= k) & (few | full)
+        why = np.select([size == 0, size < k, more & (r == len(rungs) - 1), few, full], [NONE, NO_FURTHER, BUDGET, FEW, SATURATED], SUFFICIENT)
+        stop = ~more | (r == len(rungs) - 1)
+        at = left[stop]
+        mask[at], hybrid[at], rounds[at], reasons[at] = got[stop], score[stop], r + 1, why[stop]
+        left = left[~stop]
+        if not len(left):
+            break
+    return mask, hybrid, rounds, reasons
+
+
+# What a task hands on of a block's search: why each query ended, its candidates, or its candidates as bits over the places of the block.
+ENDS = "query string, k int, rounds int, expansions int, retrieved long, unblocked long, unknown long, elsewhere long, reason string, bounded boolean"
+CANDIDATES = "query string, fact_id string, hybrid double, nth int, blocking_reason string, status string"
+BITS = "fact_id string, block long, place int, bits array<long>"
+_WHY = pa.array([None, "UNKNOWN_FACT_ID", "BLOCK"], pa.string())
+
+
+def _in_blocks(rows: DataFrame, knobs: Knobs, schema: str) -> DataFrame:
+    """The search in blocks that a task holds whole, of `rows` (fact_id, block, asked, findable, why, terms, weights, sought, v)."""
+    target = to_arrow_schema(StructType.fromDDL(schema))
+    rungs = np.array(knobs.rungs())
+
+    def ends(ask, ids, why, mask, hybrid, rounds, reasons):
+        count = [mask.sum(axis=1), *((mask & (why == w)).sum(axis=1) for w in (0, 1, 2))]
+        return [ask, rungs[rounds - 1], rounds, rounds - 1, *count, pa.array(reasons, pa.string()), reasons == BUDGET]
+
+    def candidates(ask, ids, why, mask, hybrid, rounds, reasons):
+        i, j = np.nonzero(mask)
+        order = np.lexsort((j, -np.floor(hybrid[i, j] * 1e6 + 0.5), i))
+        i, j = i[order], j[order]
+        nth = np.arange(len(i)) - np.searchsorted(i, i) + 1
+        return [ask.take(pa.array(i)), ids.take(pa.array(j)), hybrid[i, j], nth, _WHY.take(pa.array(why[j])), pc.if_else(pa.array(why[j] == 0), "candidate", "blocked")]
+
+    def packed(mask: np.ndarray) -> pa.Array:
+        wide = np.zeros((len(mask), -(-mask.shape[1] // 64) * 64), bool)
+        wide[:, : mask.shape[1]] = mask
+        words = np.packbits(wide, axis=1, bitorder="little").view("<i8")
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * words.shape[1], pa.int32()), pa.array(words.ravel()))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("fact_id").combine_chunks()
+        flag = lambda c: table[c].to_numpy()
+        all_ids, asked, findable, why = table["fact_id"].combine_chunks(), flag("asked"), np.flatnonzero(flag("findable")), flag("why")
+        at, held, out = np.flatnonzero(asked), table.take(pa.array(findable)), []
+        queries = table.take(pa.array(at))
+        sought = queries.drop_columns(["terms"]).rename_columns({"sought": "terms"})
+        score = {c: tiles.CHANNELS[c](q, held) for c, q in (("lexical", sought), ("semantic", queries))}
+        step = max(1, min(tiles.STEP, CELLS // max(1, len(findable))))
+        for start in range(0, len(at), step):
+            end = min(start + step, len(at))
+            own = at[start:end, None] == findable[None, :]
+            found = _climbed(*(score[c](start, end) for c in ("lexical", "semantic")), own, why[findable] == 0, knobs)
+            ask = all_ids.take(pa.array(at[start:end]))
+            if schema == BITS:
+                mask = np.zeros((end - start, len(asked)), bool)
+                mask[:, findable] = found[0] & (why[findable] == 0)
+                columns = [ask, table["block"].take(pa.array(at[start:end])), at[start:end], packed(mask)]
+            else:
+                columns = (ends if schema == ENDS else candidates)(ask, all_ids.take(pa.array(findable)), why[findable], *found)
+            out.append(pa.table([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns], target.names).cast(target))
+        if schema == BITS and not asked.all():  # others are found, but ask for nothing
+            rest = np.flatnonzero(~asked)
+            out.append(pa.table([all_ids.take(pa.array(rest)), table["block"].take(pa.array(rest)), pa.array(rest, pa.int32()), pa.array([[]] * len(rest), pa.list_(pa.int64()))], target.names).cast(target))
+        return pa.concat_tables(out) if out else target.empty_table()
+
+    return rows.groupBy("block").applyInArrow(run, schema)
+
+
+@dataclass
+class Search:
+    """What is asked among which claims: `rows` of the blocks that a task holds, and of the larger ones (null, if there are none)."""
+
+    rows: DataFrame
+    large: DataFrame | None
+    knobs: Knobs
+
+    def ends(self) -> DataFrame:
+        """query, k, rounds, expansions, retrieved, unblocked, unknown and elsewhere (the blocked by reason), reason, bounded."""
+        mine = _in_blocks(self.rows, self.knobs, ENDS)
+        return mine if self.large is None else mine.unionByName(self._joined()[1])
+
+    def candidates(self) -> DataFrame:
+        mine = _in_blocks(self.rows, self.knobs, CANDIDATES)
+        return mine if self.large is None else mine.unionByName(self._joined()[0])
+
+    def pairs(self, claims: DataFrame) -> DataFrame:
+        """`candidate_pairs` of the search; where a task held the block, a pair is two bits to look at where the cluster is joined, so none is shuffled."""
+        both = claims.join(_in_blocks(self.rows, self.knobs, BITS), "fact_id")
+        a, b = pairs.prefixed(both, "a_", ("subject", "measure", "block")), pairs.prefixed(both, "b_", ("block",)).drop("b_subject", "b_measure")
+        bit = lambda bits, place: F.coalesce(F.expr(f"getbit(get({bits}, cast({place} div 64 as int)), cast({place} % 64 as int)) = 1"), F.lit(False))
+        rows = a.join(b, "block").where((F.col("a_seq") < F.col("b_seq")) & (bit("a_bits", "b_place") | bit("b_bits", "a_place")) & ~pairs.same_page())
+        rows = rows.drop("block", "a_bits", "b_bits", "a_place", "b_place")
+        return rows if self.large is None else rows.unionByName(candidate_pairs(self._joined()[0], claims))
+
+    def _joined(self) -> tuple[DataFrame, DataFrame]:
+        if not hasattr(self, "_done"):
+            self._done = _in_joins(self.large, self.knobs)
+        return self._done
+
+
+def search(claims: DataFrame, new: DataFrame | None = None, knobs: Knobs = Knobs(), embedder: Embedder | None = None, known: DataFrame | None = None, where: Column | None = None) -> Search:
+    """The search of `adaptive_search`, of which only what is asked for is worked out."""
     block = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in BLOCK], F.lit("block"))
     findable = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
     docs = claims.select("fact_id", block.alias("block"), findable.alias("findable"), texts.retrieval_text().alias("text"))
-    docs = saved(docs.select("*", unit((embedder or HashingEmbedder()).embed(F.col("text"))).alias("v")))
-    asked = docs if new is None else docs.join(new.select("fact_id"), "fact_id", "left_semi")
-    truth = docs if known is None else known.select("fact_id", block.alias("block"))
+    rows = docs.join(_weighted(docs), "fact_id", "left").withColumn("asked", F.lit(True))
+    if new is not None:
+        rows = rows.drop("asked").join(new.select("fact_id", F.lit(True).alias("asked")).distinct(), "fact_id", "left").fillna(False, ["asked"])
+    why = F.lit(0)
+    if known is not None:
+        rows = rows.join(known.select("fact_id", block.alias("true_block")), "fact_id", "left")
+        why = F.when(F.col("true_block").isNull(), 1).when(F.col("true_block") != F.col("block"), 2).otherwise(0)
+    rows = rows.select("fact_id", "block", "findable", "asked", why.alias("why"), "terms", "weights", texts.query_tokens(F.col("text")).alias("sought"), (embedder or HashingEmbedder()).embed(F.col("text")).alias("v"))
+    large = saved(docs.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > tiles.ROWS).select("block"))
+    if not large.limit(1).count():
+        return Search(rows, None, knobs)
+    return Search(rows.join(large, "block", "left_anti"), saved(rows.join(large, "block", "left_semi")), knobs)
+
+
+def _in_joins(rows: DataFrame, knobs: Knobs) -> tuple[DataFrame, DataFrame]:
+    """(candidates, ends) of `rows` as in `_in_blocks`: tiles of each block give the best of each channel, and queries climb in joins."""
     rungs = knobs.rungs()
-    lexical, semantic = saved(_ranked(_lexical(docs, asked), rungs[-1] + 1)), saved(_ranked(_semantic(docs, asked), rungs[-1] + 1))
-    waiting = saved(asked.select(F.col("fact_id").alias("query"), F.col("block").alias("own_block")))
+    index, asked = rows.where("findable"), rows.where("asked").withColumnRenamed("fact_id", "query")
+    top = lambda channel, *terms: saved(_ranked(tiles.best(index, asked.select("query", "block", *terms), "fact_id", "block", channel, rungs[-1] + 1, itself=True), rungs[-1] + 1))
+    lexical, semantic = top("lexical", F.col("sought").alias("terms")), top("semantic", F.col("v").alias("v"))
+    waiting = saved(asked.select("query"))
     candidates, ends = [], []
     for n, k in enumerate(rungs):
-        mine = lambda hits: hits.join(waiting.select("query"), "query", "left_semi")  # noqa: B023, E731
-        rows = _fused(mine(lexical), mine(semantic), k, knobs).join(waiting, "query")
-        rows = rows.join(truth.select("fact_id", F.col("block").alias("true_block")), "fact_id", "left")
-        reason = F.when(F.col("true_block").isNull(), "UNKNOWN_FACT_ID").when(F.col("true_block") != F.col("own_block"), "BLOCK")
-        rows = saved(rows.select("query", "fact_id", "hybrid", "nth", reason.alias("blocking_reason"), F.when(reason.isNull(), "candidate").otherwise("blocked").alias("status")))
-        counts = waiting.join(rows.groupBy("query").agg(F.count("*").alias("retrieved"), F.count_if(F.col("status") == "candidate").alias("unblocked")), "query", "left").fillna(0, ["retrieved", "unblocked"])
+        mine = lambda hits: hits.join(waiting, "query", "left_semi")  # noqa: B023, E731
+        found = _fused(mine(lexical), mine(semantic), k, knobs).join(rows.select("fact_id", "why"), "fact_id")
+        reason = F.when(F.col("why") == 1, "UNKNOWN_FACT_ID").when(F.col("why") == 2, "BLOCK")
+        found = saved(found.select("query", "fact_id", "hybrid", "nth", reason.alias("blocking_reason"), F.when(F.col("why") == 0, "candidate").otherwise("blocked").alias("status")))
+        number = lambda reason: F.count_if(F.col("blocking_reason") == reason)
+        sizes = found.groupBy("query").agg(F.count("*").alias("retrieved"), F.count_if(F.col("status") == "candidate").alias("unblocked"), number("UNKNOWN_FACT_ID").alias("unknown"), number("BLOCK").alias("elsewhere"))
+        counts = waiting.join(sizes, "query", "left").fillna(0)
         counts = saved(counts.withColumn("d", decided(k, knobs, n == len(rungs) - 1)))
         stop = counts.where("not d.expand")
-        candidates.append(rows.join(stop.select("query"), "query", "left_semi"))
+        candidates.append(found.join(stop.select("query"), "query", "left_semi"))
         reason = F.when((F.col("retrieved") == 0), NONE).otherwise(F.col("d.reason"))
-        ends.append(stop.select("query", F.lit(k).alias("k"), F.lit(n + 1).alias("rounds"), F.lit(n).alias("expansions"), "retrieved", "unblocked", reason.alias("reason"), (F.col("d.reason") == BUDGET).alias("bounded")))
-        waiting = saved(counts.where("d.expand").select("query", "own_block"))
+        ends.append(stop.select("query", F.lit(k).alias("k"), F.lit(n + 1).alias("rounds"), F.lit(n).alias("expansions"), "retrieved", "unblocked", "unknown", "elsewhere", reason.alias("reason"), (F.col("d.reason") == BUDGET).alias("bounded")))
+        waiting = saved(counts.where("d.expand").select("query"))
         if not waiting.limit(1).count():
             break
     join = lambda parts: parts[0] if len(parts) == 1 else join([parts[0].unionByName(parts[1]), *parts[2:]])
     return join(candidates), join(ends)
 
 
+def adaptive_search(claims: DataFrame, new: DataFrame | None = None, knobs: Knobs = Knobs(), embedder: Embedder | None = None, known: DataFrame | None = None, where: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(candidates, terminations) of the claims of `new` (all, if not given) among `claims`.
+
+    Candidates have query, fact_id, hybrid, nth, status and blocking_reason: ids that `known` (the authoritative claims; `claims`, if not given) lacks, or has in another
+    block, are blocked. Only claims for which `where` holds may be found; they count in the statistics all the same. Terminations have query, k, rounds, expansions, retrieved, unblocked,
+    unknown, elsewhere (the blocked, by reason), reason and bounded (whether the ladder ended the search).
+    """
+    found = search(claims, new, knobs, embedder, known, where)
+    return found.candidates(), found.ends()
+
+
 def candidate_pairs(candidates: DataFrame, claims: DataFrame) -> DataFrame:
     """Pairs in the form of the gate, each once, the earlier claim first, but for mentions on one page; unknown ids make none."""
     found = candidates.where("status = 'candidate'").select(F.least("query", "fact_id").alias("one"), F.greatest("query", "fact_id").alias("other")).distinct()
@@ -205,4 +354,4 @@ def relations(claims: DataFrame, new: DataFrame | None = None, mode: str = "brut
         return pairs.relations(pairs.cluster_pairs(claims) if new is None else pairs.delta_pairs(new, claims.join(new.select("fact_id"), "fact_id", "left_anti")))
     if mode != "retrieval":
         raise ValueError(f"no relationship mode {mode!r}")
-    return pairs.relations(candidate_pairs(adaptive_search(claims, new, knobs, embedder)[0], claims))
+    return pairs.relations(search(claims, new, knobs, embedder).pairs(claims))

@@ -155,16 +155,16 @@ def j04_relations(spark, sf_dir):
 
 def j04_terminations(spark, sf_dir):
     """Why each claim's search ended, on the standard ladder."""
-    _, ends = adaptive.adaptive_search(claims(spark, sf_dir))
-    return ends.groupBy("k", "rounds", "reason", "bounded").agg(F.count("*").alias("n"), F.sum("retrieved").alias("retrieved"), F.sum("unblocked").alias("unblocked"))
+    return adaptive.search(claims(spark, sf_dir)).ends().groupBy("k", "rounds", "reason", "bounded").agg(F.count("*").alias("n"), F.sum("retrieved").alias("retrieved"), F.sum("unblocked").alias("unblocked"))
 
 
 def j04_blocked(spark, sf_dir):
     """Claims against an authoritative set that lacks some ids and has others in another block: those are blocked."""
     rows = claims(spark, sf_dir)
     known = rows.where("seq % 9 > 0").withColumn("measure", F.when(F.col("seq") % 4 == 0, "other").otherwise(F.col("measure")))
-    found, _ = adaptive.adaptive_search(rows, known=known, knobs=adaptive.Knobs(k_ladder=(1000,)))
-    return found.groupBy("status", "blocking_reason").agg(F.count("*").alias("n"))
+    ends = adaptive.search(rows, known=known, knobs=adaptive.Knobs(k_ladder=(1000,))).ends()
+    counts = [F.struct(F.lit(status).alias("status"), F.lit(reason).cast("string").alias("blocking_reason"), F.col(c).alias("n")) for status, reason, c in (("candidate", None, "unblocked"), ("blocked", "UNKNOWN_FACT_ID", "unknown"), ("blocked", "BLOCK", "elsewhere"))]
+    return ends.select(F.explode(F.array(*counts)).alias("c")).groupBy("c.status", "c.blocking_reason").agg(F.sum("c.n").alias("n")).where("n > 0")
 
 
 QUERIES = {
