@@ -12,12 +12,16 @@ Everything is grouped by page or table, which are bounded.
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import periods
 from ..functions import text as texts
-from .documents import line_numbers
+from . import page_arrays
 from .layout import text_lines
 from .verify import amounts_in
 
@@ -38,40 +42,58 @@ def aligned_cells(words: DataFrame, gap: float = CELL_GAP) -> DataFrame:
 
     A piece that reaches over several columns stands in the first; columns without a piece have no cell in that row.
     """
-    rows = line_numbers(words)
-    along = Window.partitionBy("page_id", "line").orderBy("x0", "x1", "text")
-    upto = along.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("begins", (F.col("x0") - F.coalesce(F.max("x1").over(upto), F.lit(float("-inf"))) > gap).cast("int"))
-    rows = rows.withColumns({"piece": F.sum("begins").over(along), "nth": F.row_number().over(along)})
-    pieces = rows.groupBy("page_id", "line", "piece").agg(
-        F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda w: w["text"]), " ").alias("value"),
-    )
-    lines = pieces.groupBy("page_id", "line").agg(F.count("*").alias("n"), F.min("top").alias("top"), F.max("bottom").alias("bottom"))
-    down = Window.partitionBy("page_id").orderBy("line")
-    near = F.col("top") - F.lag("bottom").over(down) <= LINE_STEP * F.greatest(F.col("bottom") - F.col("top"), F.lit(1.0))
-    same = (F.col("n") > 1) & (F.lag("n").over(down) > 1) & near
-    lines = lines.withColumn("begins", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("begins").over(down))
-    of_run = Window.partitionBy("page_id", "run")
-    lines = lines.where("n > 1").withColumn("in_run", F.count("*").over(of_run)).where(F.col("in_run") >= TABLE_LINES)
-    nth_table = F.dense_rank().over(Window.partitionBy("page_id").orderBy("run"))
-    lines = lines.select("page_id", "line", nth_table.alias("nth"), (F.row_number().over(of_run.orderBy("line")) - 1).alias("row"))
-    rows = pieces.join(lines, ["page_id", "line"]).withColumn("table_id", F.concat_ws("#", F.col("page_id").cast("string"), "nth"))
-
+    cells = page_arrays.over_pages(words.where("page_id is not null"), partial(_cells, gap=gap), "nth int, row int, col int, x0 double, top double, x1 double, bottom double, value string")
+    return cells.select("page_id", F.concat_ws("#", F.col("page_id").cast("string"), "nth").alias("table_id"), "row", "col", *page_arrays.BOX, "value")
+
+
+def _cells(w: page_arrays.Words, gap: float) -> pa.RecordBatch | None:
+    """The cells of the tables on some pages."""
+    begins = w.first | (w.x0 - page_arrays.reach_before(w.x1, w.first) > gap)
+    start = np.flatnonzero(begins)
+    x0, top, x1, bottom = page_arrays.boxes(w.x0, w.top, w.x1, w.bottom, start)
+    of_line = np.cumsum(w.first[start]) - 1  # of the pieces
+    line = np.flatnonzero(w.first[start])  # first piece of each line
+    n = np.diff(np.append(line, len(start)))
+
+    # runs of lines with several pieces, close to each other
+    line_top, line_bottom, page = np.fmin.reduceat(top, line), np.fmax.reduceat(bottom, line), w.page[start][line]
+    near = line_top[1:] - line_bottom[:-1] <= LINE_STEP * np.fmax(line_bottom[1:] - line_top[1:], 1.0)
+    same = np.append(False, near & (n[1:] > 1) & (n[:-1] > 1) & (page[1:] == page[:-1]))
+    run = np.cumsum(~same) - 1
+    lines_of = np.bincount(run)
+    is_table = (lines_of >= TABLE_LINES) & (n[~same] > 1)
+    if not is_table.any():
+        return None
+    begin = np.flatnonzero(~same)
+    row = np.arange(len(line)) - begin[run]
+    table = np.cumsum(is_table) - 1  # of the runs
+    page_of = page[begin][is_table]
+    nth = np.arange(len(page_of)) - np.maximum.accumulate(np.where(page_arrays.first_of(page_of), np.arange(len(page_of)), 0)) + 1
+
+    piece = np.flatnonzero(is_table[run[of_line]])
+    of, row, width, x = table[run[of_line[piece]]], row[of_line[piece]], n[of_line[piece]], x0[piece]
     # columns: gaps in what the table's pieces cover; wide pieces over several columns don't count
-    table = Window.partitionBy("table_id")
-    most = F.max("piece").over(table)
-    rows = rows.withColumn("full", F.count("*").over(Window.partitionBy("table_id", "row")) == most)
-    sweep = Window.partitionBy("table_id").orderBy("x0", "x1", "row")
-    body = rows.where("full").withColumn("begins", (F.col("x0") > F.coalesce(F.max("x1").over(sweep.rowsBetween(Window.unboundedPreceding, -1)), F.lit(float("-inf")))).cast("int"))
-    body = body.withColumn("col", F.sum("begins").over(sweep) - 1).groupBy("table_id", "col").agg(F.max("x1").alias("reach"))
-    edges = body.groupBy("table_id").agg(F.array_sort(F.collect_list("reach")).alias("edges"))  # the columns of one table
+    most = np.maximum.reduceat(width, np.flatnonzero(page_arrays.first_of(of)))
+    full = np.flatnonzero(width == most[of])
+    full = full[np.lexsort((row[full], x1[piece][full], x[full], of[full]))]
+    first = page_arrays.first_of(of[full])
+    edge = np.flatnonzero(first | (x[full] > page_arrays.reach_before(x1[piece][full], first)))
+    reach, reach_of = np.fmax.reduceat(x1[piece][full], edge), of[full][edge]
+    least = np.searchsorted(reach_of, np.arange(len(most)))
+    edges = np.diff(np.append(least, len(reach)))
     # a piece stands in the first column that doesn't end on its left
-    col = F.least(F.size(F.filter("edges", lambda e: e < F.col("x0"))), F.size("edges") - 1)
-    found = rows.join(edges, "table_id").withColumn("col", col)
-    return found.groupBy("page_id", "table_id", "row", "col").agg(
-        F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "value"))), lambda p: p["value"]), " ").alias("value")
-    )
+    col, left = np.zeros(len(of), np.int64), np.arange(len(of))
+    for k in range(int(edges.max())):
+        left = left[edges[of[left]] > k]
+        col[left] += reach[least[of[left]] + k] < x[left]
+    col = np.minimum(col, edges[of] - 1)
+
+    opens = page_arrays.first_of(of, row, col)
+    at = np.flatnonzero(opens)
+    value = page_arrays.joined(page_arrays.joined(w.text, begins).take(pa.array(piece)), opens)
+    cell = page_arrays.boxes(x, top[piece], x1[piece], bottom[piece], at)
+    columns = [w.taken("page_id", start[piece[at]]), *(pa.array(c, pa.int32()) for c in (nth[of[at]], row[at], col[at])), *page_arrays.doubles(*cell), value]
+    return pa.RecordBatch.from_arrays(columns, names=["page_id", "nth", "row", "col", *page_arrays.BOX, "value"])
 
 
 def with_fallback(pages: DataFrame, ruled: DataFrame, aligned: DataFrame) -> DataFrame:

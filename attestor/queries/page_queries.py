@@ -9,10 +9,19 @@ from ..operators import layout, tables
 from ..sources.claims import table
 
 
-def _lines(spark, sf_dir):
-    """Every numbered line of an order once, with its least flag and quantity."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber")
-    return rows.agg(F.min("l_returnflag").alias("flag"), F.min("l_quantity").cast("int").alias("quantity"))
+#: Order lines that one task holds at a time.
+TASK_LINES = 250_000
+
+
+def _parts(spark, sf_dir):
+    """So many parts of pages that a task's share doesn't grow with the table."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "lineitem").count() // TASK_LINES))
+
+
+def _lines(spark, sf_dir, page="l_orderkey"):
+    """Every numbered line of an order once, with its least flag and quantity; dealt by page, so that nothing that is done page by page deals it again."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("page_id", F.col(page) if isinstance(page, str) else page).repartition(_parts(spark, sf_dir), "page_id")
+    return rows.groupBy("page_id", "l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_quantity").cast("int").alias("quantity"))
 
 
 def _page_words(spark, sf_dir):
@@ -22,7 +31,7 @@ def _page_words(spark, sf_dir):
     a number, and lines of quantity 1 are list items.
     """
     page = F.floor(F.col("l_orderkey") / 64).cast("long")
-    rows = _lines(spark, sf_dir).withColumns({"page_id": page, "top": (F.col("l_orderkey") % 64 * 80 + F.col("l_linenumber") * 10).cast("double")})
+    rows = _lines(spark, sf_dir, page).withColumns({"top": (F.col("l_orderkey") % 64 * 80 + F.col("l_linenumber") * 10).cast("double")})
     words = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
     after = F.when(F.col("page_id") % 3 == 1, 3).otherwise(1 + F.col("l_linenumber") % 4)
     shifted = (F.col("page_id") % 3 > 0) & (F.col("flag") != "R") & (F.col("k") >= after)
@@ -59,8 +68,8 @@ def _table_words(spark, sf_dir):
     word = lambda x0, x1, text: F.struct(F.lit(float(x0)).alias("x0"), F.lit(float(x1)).alias("x1"), text.cast("string").alias("text"))
     words = F.array(word(10, 30, F.lit("item")), word(33, 40, nth), word(80, 100, F.col("quantity")), word(150, 160, F.when(F.col("flag") != "R", F.col("flag"))))
     top = (F.col("l_linenumber") * 12 + 20).cast("double")
-    body = rows.select(F.col("l_orderkey").alias("page_id"), top.alias("top"), F.explode(words).alias("w")).select("page_id", "w.x0", "top", "w.x1", (F.col("top") + 8).alias("bottom"), "w.text").where("text is not null")
-    titles = rows.select(F.col("l_orderkey").alias("page_id")).distinct().select("page_id", F.lit(10.0).alias("x0"), F.lit(10.0).alias("top"), F.lit(200.0).alias("x1"), F.lit(18.0).alias("bottom"), F.lit("Goods (in lakhs)").alias("text"))
+    body = rows.select("page_id", top.alias("top"), F.explode(words).alias("w")).select("page_id", "w.x0", "top", "w.x1", (F.col("top") + 8).alias("bottom"), "w.text").where("text is not null")
+    titles = rows.select("page_id").distinct().select("page_id", F.lit(10.0).alias("x0"), F.lit(10.0).alias("top"), F.lit(200.0).alias("x1"), F.lit(18.0).alias("bottom"), F.lit("Goods (in lakhs)").alias("text"))
     return body.unionByName(titles)
 
 

@@ -13,7 +13,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from attestor.operators import extraction, layout, resolve, similar, tables
+from attestor.queries import page_queries
 
+SF = "/root/testdata/sf0.01"
 WORD = "page_id long, x0 double, top double, x1 double, bottom double, text string"
 
 
@@ -272,3 +274,34 @@ def test_claims_from_pages_and_replies(spark):
     assert found["e"]["missed"] == 1 and found["e"]["records"] == 0
     bare, _ = extraction.extract_claims(pages, replies, None, placed.limit(0))
     assert {r["confidence"] for r in bare.collect()} == {0.72}
+
+
+# --- pages at scale --------------------------------------------------------------------------------
+
+
+def dealt(spark, monkeypatch, name):
+    """How often the rows of a query are dealt anew, after they were dealt by page in parts of one size."""
+    monkeypatch.setattr(page_queries, "TASK_LINES", 500)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = page_queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    parts = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 500)
+    assert re.search(rf"Exchange hashpartitioning\(page_id#\w+, {parts}\), REPARTITION_BY_NUM", plan)
+    return plan.count("ENSURE_REQUIREMENTS")
+
+
+def test_aligned_tables_deal_pages_once(spark, monkeypatch):
+    assert dealt(spark, monkeypatch, "S-03_aligned_tables") == 0
+
+
+def test_cells_of_odd_words(spark):
+    rows = [
+        (2, 10.0, 0.0, 20.0, 8.0, "b"), (2, 10.0, 1.0, 20.0, 9.0, "a"), (2, 10.0, 2.0, 20.0, 8.0, None), (2, 90.0, 0.0, 99.0, 8.0, "c"), (2, 140.0, 0.0, 150.0, 8.0, "d"),  # equal boxes go by text
+        (None, 0.0, 0.0, 5.0, 8.0, "x"), (1, 5.0, 0.0, 5.0, 0.0, "flat"), *[(3, 20.0 + 100 * c, 12.0 * r, 60.0 + 100 * c, 12.0 * r + 8, f"{r}.{c}") for r in range(4) for c in range(3) if (r, c) != (1, 1)],
+        (4, 0.0, 0.0, 9.0, 8.0, "one"), *[(4, 30.0 * c, 12.0 * r, 30.0 * c + 15, 12.0 * r + 8, None) for r in (2, 3, 4) for c in (0, 1)],
+    ]
+    rows = spark.createDataFrame(rows, WORD).repartition(3)
+    cells = {(r["table_id"], r["row"], r["col"]): r["value"] for r in tables.aligned_cells(rows).collect()}
+    assert cells == {("3#1", r, c): f"{r}.{c}" for r in range(4) for c in range(3) if (r, c) != (1, 1)} | {("4#1", r, c): "" for r in range(3) for c in (0, 1)}
