@@ -1,14 +1,17 @@
 """What a page looks like: lines, blocks and their kinds, column gutters, and the order in which to read it.
 
 Words come as rows (page_id, x0, top, x1, bottom, text) and tables as boxes (page_id, x0, top, x1, bottom). A page's words are a
-bounded group, and everything is a window or an aggregate over pages. Pages without words have no row anywhere.
+bounded group, and everything is a window or an aggregate over pages; lines are made of many pages at a time (`page_arrays`). Pages without words have no row anywhere.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import page_arrays
 from .documents import block_numbers, line_numbers
 
 # Words of a line that can tell of columns, gaps that can be gutters, how far gutters of one page may lie apart.
@@ -21,18 +24,25 @@ LIST_ITEM = r"^[-•*]\s|^\d+[.)]\s"
 DOT_LEADER = r"\.{3,}"
 
 
+def _lines(w: page_arrays.Words) -> pa.RecordBatch:
+    start, of = np.flatnonzero(w.first), np.cumsum(w.first) - 1
+    x0, top, x1, bottom = page_arrays.boxes(w.x0, w.top, w.x1, w.bottom, start)
+    left = np.where(w.first, np.nan, np.append(np.nan, w.x1[:-1]))
+    gap = np.where(w.x0 > left, w.x0 - left, -np.inf)
+    widest = np.maximum.reduceat(gap, start)
+    place = np.flatnonzero((gap == widest[of]) & (gap > 0))
+    place = place[page_arrays.first_of(of[place])]  # the first of several
+    gaps = np.full((2, len(start)), np.nan)
+    gaps[:, of[place]] = gap[place], (w.x0[place] + left[place]) / 2
+    # where there is no height, it counts as 1
+    columns = [w.taken("page_id", start), w.taken("line", start), *page_arrays.doubles(x0, top, x1, bottom, np.fmax(bottom - top, 1.0))]
+    columns += [pa.array(np.diff(np.append(start, len(of)))), page_arrays.joined(w.text, w.first), *page_arrays.doubles(*gaps)]
+    return pa.RecordBatch.from_arrays(columns, names=["page_id", "line", "x0", "top", "x1", "bottom", "height", "words", "text", "gap", "gap_x"])
+
+
 def text_lines(words: DataFrame) -> DataFrame:
     """(page_id, line, x0, top, x1, bottom, height, words, text, gap, gap_x) of every line; gap is its widest space between words, gap_x the middle."""
-    rows = line_numbers(words)
-    along = Window.partitionBy("page_id", "line").orderBy("x0", "x1", "text")
-    rows = rows.withColumns({"nth": F.row_number().over(along), "left": F.lag("x1").over(along)})
-    space = F.struct((F.col("x0") - F.col("left")).alias("gap"), (-F.col("nth")).alias("first"), ((F.col("x0") + F.col("left")) / 2).alias("x"))
-    lines = rows.groupBy("page_id", "line").agg(
-        F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"), F.count("*").alias("words"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda w: w["text"]), " ").alias("text"),
-        F.max(F.when(F.col("x0") > F.col("left"), space)).alias("space"),
-    )
-    return lines.select("page_id", "line", "x0", "top", "x1", "bottom", F.greatest(F.col("bottom") - F.col("top"), F.lit(1.0)).alias("height"), "words", "text", F.col("space.gap").alias("gap"), F.col("space.x").alias("gap_x"))
+    return page_arrays.over_pages(words, _lines, "line int, x0 double, top double, x1 double, bottom double, height double, words long, text string, gap double, gap_x double")
 
 
 def touches(rows: DataFrame, tables: DataFrame | None, name: str = "in_table") -> DataFrame:

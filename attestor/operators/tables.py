@@ -116,13 +116,14 @@ def scale_phrase(text) -> F.Column:
 
 def captions(cells: DataFrame, words: DataFrame) -> DataFrame:
     """(table_id, caption, scale) of every table: the lines within CAPTION_POINTS above it, and the first scale in them or the first two rows."""
-    boxes = cells.groupBy("page_id", "table_id").agg(F.min("top").alias("table_top"))
-    heads = cells.where("row < 2").groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "col", F.coalesce("value", F.lit("")).alias("v")))), lambda c: c["v"]), " ").alias("head"))
+    head = F.sort_array(F.collect_list(F.when(F.col("row") < 2, F.struct("row", "col", F.coalesce("value", F.lit("")).alias("v")))))
+    found = cells.groupBy("page_id", "table_id").agg(F.min("top").alias("table_top"), F.array_join(F.transform(head, lambda c: c["v"]), " ").alias("head"))
+    # the tables of a page meet its lines, and each keeps those above it
     lines = text_lines(words).select("page_id", "line", "top", "text")
-    above = boxes.join(lines, "page_id").where("top < table_top and top >= table_top - 45.0")
-    text = above.groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("caption"))
-    out = boxes.select("table_id").join(text, "table_id", "left").join(heads, "table_id", "left").withColumn("caption", F.coalesce("caption", F.lit("")))
-    return out.select("table_id", "caption", scale_phrase(F.concat_ws(" ", "caption", "head")).alias("scale"))
+    near = F.when((F.col("top") < F.col("table_top")) & (F.col("top") >= F.col("table_top") - CAPTION_POINTS), F.struct("line", "text"))
+    above = found.join(lines, "page_id", "left").groupBy("page_id", "table_id").agg(F.first("head").alias("head"), F.sort_array(F.collect_list(near)).alias("near"))
+    caption = F.array_join(F.transform("near", lambda x: x["text"]), "\n")
+    return above.select("table_id", caption.alias("caption"), "head").select("table_id", "caption", scale_phrase(F.concat_ws(" ", "caption", "head")).alias("scale"))
 
 
 def header_rows(cells: DataFrame) -> DataFrame:

@@ -296,12 +296,20 @@ def test_aligned_tables_deal_pages_once(spark, monkeypatch):
     assert dealt(spark, monkeypatch, "S-03_aligned_tables") == 0
 
 
-def test_cells_of_odd_words(spark):
+def test_captions_deal_cells_and_lines_once(spark, monkeypatch):
+    assert dealt(spark, monkeypatch, "S-04_captions") <= 3
+
+
+def test_lines_and_cells_of_odd_words(spark):
     rows = [
         (2, 10.0, 0.0, 20.0, 8.0, "b"), (2, 10.0, 1.0, 20.0, 9.0, "a"), (2, 10.0, 2.0, 20.0, 8.0, None), (2, 90.0, 0.0, 99.0, 8.0, "c"), (2, 140.0, 0.0, 150.0, 8.0, "d"),  # equal boxes go by text
         (None, 0.0, 0.0, 5.0, 8.0, "x"), (1, 5.0, 0.0, 5.0, 0.0, "flat"), *[(3, 20.0 + 100 * c, 12.0 * r, 60.0 + 100 * c, 12.0 * r + 8, f"{r}.{c}") for r in range(4) for c in range(3) if (r, c) != (1, 1)],
         (4, 0.0, 0.0, 9.0, 8.0, "one"), *[(4, 30.0 * c, 12.0 * r, 30.0 * c + 15, 12.0 * r + 8, None) for r in (2, 3, 4) for c in (0, 1)],
     ]
     rows = spark.createDataFrame(rows, WORD).repartition(3)
+    got = {(r["page_id"], r["line"]): r for r in layout.text_lines(rows).collect()}
+    assert {k: (r["words"], r["text"], r["gap"], r["gap_x"], r["height"]) for k, r in got.items() if k[0] != 3} == {
+        (2, 0): (5, "a b c d", 70.0, 55.0, 9.0), (None, 0): (1, "x", None, None, 8.0), (1, 0): (1, "flat", None, None, 1.0), (4, 0): (1, "one", None, None, 8.0), **{(4, i): (2, "", 15.0, 22.5, 8.0) for i in (1, 2, 3)},
+    }
     cells = {(r["table_id"], r["row"], r["col"]): r["value"] for r in tables.aligned_cells(rows).collect()}
     assert cells == {("3#1", r, c): f"{r}.{c}" for r in range(4) for c in range(3) if (r, c) != (1, 1)} | {("4#1", r, c): "" for r in range(3) for c in (0, 1)}
