@@ -53,7 +53,8 @@ def w11_column_gutters(spark, sf_dir):
 
 def x11_reading_order(spark, sf_dir):
     words = _page_words(spark, sf_dir)
-    return layout.reading_order(words, layout.column_gutters(layout.text_lines(words))).select("page_id", "top", "x0", "part", "position")
+    lines = layout.text_lines(words).repartition(_parts(spark, sf_dir), "page_id")  # as the words are, which then stay where they are
+    return layout.reading_order(words, layout.column_gutters(lines)).select("page_id", "top", "x0", "part", "position")
 
 
 def x11_page_layouts(spark, sf_dir):

@@ -300,6 +300,10 @@ def test_captions_deal_cells_and_lines_once(spark, monkeypatch):
     assert dealt(spark, monkeypatch, "S-04_captions") <= 3
 
 
+def test_reading_order_deals_pages_in_parts_of_one_size(spark, monkeypatch):
+    assert dealt(spark, monkeypatch, "X-11_reading_order") == 0
+
+
 def test_lines_and_cells_of_odd_words(spark):
     rows = [
         (2, 10.0, 0.0, 20.0, 8.0, "b"), (2, 10.0, 1.0, 20.0, 9.0, "a"), (2, 10.0, 2.0, 20.0, 8.0, None), (2, 90.0, 0.0, 99.0, 8.0, "c"), (2, 140.0, 0.0, 150.0, 8.0, "d"),  # equal boxes go by text
