@@ -130,3 +130,14 @@ def test_hashed_words_make_unit_vectors(spark):
     rows = spark.createDataFrame([("one two two",), ("",), (None,)], "t string").select(e.embed(F.col("t")).alias("v"), adaptive.unit(e.embed(F.col("t"))).alias("u")).collect()
     assert len(rows[0]["v"]) == e.dimension and abs(sum(x * x for x in rows[0]["u"]) - 1) < 1e-9 and sum(map(abs, rows[0]["v"])) in (1.0, 3.0)
     assert set(rows[1]["u"]) == set(rows[2]["u"]) == {0.0}
+
+
+def test_store_has_no_method_generated_that_java_would_interpret(spark):
+    seen = []
+
+    class Rows:
+        sparkSession, write = spark, type("", (), {"mode": lambda self, how: self, "parquet": lambda self, path: seen.append(int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")))})()
+
+    before = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    ingest.IncrementalStore(spark, "file:///nowhere").append("relations", Rows(), 0)
+    assert seen == [8000] and spark.conf.get("spark.sql.codegen.hugeMethodLimit") == before
