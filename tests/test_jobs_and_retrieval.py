@@ -7,7 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from attestor.operators import adaptive
+from attestor.operators import adaptive, pairs
+from attestor.queries import ingest_queries
+from attestor.sources.claims import claims
 from attestor.streaming import ingest, jobs
 
 from .test_operators import CLAIM, claim
@@ -132,6 +134,19 @@ def test_hashed_words_make_unit_vectors(spark):
     assert set(rows[1]["u"]) == set(rows[2]["u"]) == {0.0}
 
 
+def test_stream_has_as_many_batches_however_many_files_the_claims_are(spark, tmp_path, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    for name in ("orders", "customer"):
+        spark.read.parquet(f"{sf}/{name}.parquet").repartition(24).write.parquet(f"{tmp_path}/{name}.parquet")
+    monkeypatch.setattr(ingest_queries, "_folder", lambda spark: f"file://{tmp_path}/stream")
+    monkeypatch.setattr(ingest_queries, "claims", lambda spark, d: claims(spark, d).repartition(24))
+    found = ingest_queries.st01_streaming_ingest(spark, str(tmp_path))
+    assert sorted(p.name for p in (tmp_path / "stream/store/claims").glob("batch=*")) == ["batch=0", "batch=1", "batch=2"]
+    one = pairs.relations(pairs.cluster_pairs(claims(spark, sf)))
+    ends = lambda df, a, b: sorted((*sorted((r[a], r[b])), r["relation"], r["reason_code"]) for r in df.collect())
+    assert ends(found, "one", "other") == ends(one, "source_id", "target_id")
+
+
 def test_store_has_no_method_generated_that_java_would_interpret(spark):
     seen = []
 
