@@ -264,6 +264,76 @@ def test_recall_of_edited_passages_where_others_hold_bits(spark, length, share,
     assert len(got & right) >= least * n and got <= right
 
 
+@pytest.mark.parametrize("length, share, least", [(60, 0.05, 1.0), (60, 0.1, 0.95), (60, 0.2, 0.8), (100, 0.2, 0.95)])
+def test_recall_of_edited_passages_behind_many_others_that_hold_bits(spark, length, share, least):
+    n, bit, texts = 60, 28, {}
+    for i in range(n):
+        passage = prose(length, 30000 + i)
+        words = passage.split()
+        texts[10000 + i] = f"{prose(40, i)} {passage} {prose(40, i + 400)}"
+        texts[90000 + i] = f"{prose(40, i + 800)} {edited(passage, round(length * share), i)} {prose(40, i + 1200)}"
+        # each bit in a smaller document and in six between the two
+        for k, at in enumerate(range(0, length - bit + 1, 7)):
+            for j in range(7):
+                doc = (20000 if j else 0) + i * 100 + k * 7 + j
+                texts[doc] = f"{prose(30, 100000 + doc)} {' '.join(words[at : at + bit])} {prose(30, 200000 + doc)}"
+    got = {(r["doc_id"], r["other_doc_id"]) for r in chaining.fuzzy_passages(documents(spark, texts)).collect()}
+    right = {(90000 + i, 10000 + i) for i in range(n)}
+    print("recall behind many bits", length, share, len(got & right) / n)
+    assert len(got & right) >= least * n and got <= right
+
+
+def test_passages_shared_with_one_that_is_itself_covered_are_found(spark):
+    # the second shares a passage with the first; the third has the second's too much edited to share it with the first
+    n, texts = 60, {}
+    for i in range(n):
+        first = prose(60, 40000 + i)
+        second = edited(first, 8, i)
+        third = second.split()
+        kept = [k for k, w in enumerate(third) if not w.startswith("edit")]
+        for k in random.Random(i).sample(kept, 9):
+            third[k] = f"new{i}x{k}"
+        texts |= {i: f"{prose(40, i)} {first}", 1000 + i: f"{prose(40, 400 + i)} {second}", 2000 + i: f"{prose(40, 800 + i)} {' '.join(third)}"}
+    got = {(r["doc_id"], r["other_doc_id"]) for r in chaining.fuzzy_passages(documents(spark, texts)).collect()}
+    found = [len(got & {(2000 + i, k * 1000 + i) for i in range(n)}) / n for k in (0, 1)]
+    print("recall behind a covered holder", found)
+    assert found[1] >= 0.95
+
+
+def test_a_common_line_makes_no_match_for_each_pair_of_its_documents(spark, monkeypatch):
+    line, matches, whole = prose(35, 7), [], chaining._wide_matches
+    monkeypatch.setattr(chaining, "_wide_matches", lambda linked: matches.append(whole(linked)) or matches[-1])
+    monkeypatch.setattr(chaining, "dropped", lambda df: None)
+    texts = {i: f"{prose(60, 5000 + i)} {line} {prose(60, 9000 + i)}" for i in range(300)}
+    passage = f"{line} {prose(30, 8)}"
+    texts |= {300: f"{prose(9, 3)} {passage} {prose(60, 1)}", 700: f"{prose(60, 2)} {edited(passage, 6, 1)}"}
+    got = [(r["doc_id"], r["other_doc_id"]) for r in chaining.fuzzy_passages(documents(spark, texts)).collect()]
+    counted = sum(m.count() for m in matches)
+    assert got == [(700, 300)] and 0 < counted < 5 * len(texts)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_wide_keys_match_plain_loops(seed):
+    rng = np.random.default_rng(seed)
+    edge = np.append(0, np.cumsum(rng.integers(1, 130, 4)))
+    three = rng.integers(0, 1 << 60, edge[-1]).astype(np.uint64)
+    rows = []
+    for a, b in zip(edge, edge[1:], strict=False):
+        for lo in rng.integers(a, max(a + 1, b - 5), 6):
+            for side in (0, -1, 1):
+                rows.append((a, b, lo, min(b, lo + (5 if side == 0 else int(rng.integers(5, 60)))), side))
+    first, end, lo, hi, side = (np.array(c) for c in zip(*rows, strict=True))
+    row, _, new_lo, new_hi, other = chaining.wide_keys(three, first, end, np.arange(len(rows)).astype(np.uint64), lo, hi, side)
+    want = []
+    for i, (a, b, x, y, s) in enumerate(rows):
+        for p in range(a, b - 2):
+            gap = p - y if p >= y else x - p - 3
+            far = chaining.SIDE_NEAR <= gap < chaining.SIDE_FAR if s == 0 else 0 <= gap < chaining.SIDE_FAR and max(y, p + 3) - min(x, p) >= chaining.SPAN
+            if gap >= 0 and far and s in (0, 1 if p >= y else -1):
+                want.append((i, min(x, p), max(y, p + 3), -1 if p >= y else 1))
+    assert sorted(zip(row.tolist(), new_lo.tolist(), new_hi.tolist(), other.tolist(), strict=True)) == sorted(want)
+
+
 @pytest.mark.parametrize("rows", [1, 3, 1000])
 def test_neighbours_go_on_over_batches(rows):
     held = [(1, 1, 0), (1, 1, 9), (1, 2, 0), (1, 2, 4), (1, 2, 8), (1, 3, 0), (1, 4, 0), (1, 5, 5), (2, 5, 0), (3, 1, 0), (3, 9, 0)]
